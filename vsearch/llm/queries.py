@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vsearch.llm import salience, splitting
+from vsearch.llm import near_dup, salience, splitting
 from vsearch.llm.entries import entry_texts
 from vsearch.runtime import table
 
@@ -36,6 +36,15 @@ def p2_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return salience.term_scores(table(spark, d, "wal_entries")).withColumnRenamed("id", "seq")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_dup.expanded(*near_dup.near_duplicates(table(spark, d, "wal_entries")))
+    return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.groups(*near_dup.near_duplicates(table(spark, d, "wal_entries"))).withColumnsRenamed({"id": "seq", "rep": "class_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -57,4 +66,11 @@ def oracle_sql() -> dict[str, str]:
             post AS (SELECT seq, term, count(*) AS tf FROM tok GROUP BY seq, term),
             terms AS (SELECT term, count(*) AS n FROM post GROUP BY term)
             SELECT seq, term FROM post JOIN terms USING (term) WHERE tf >= 3 AND n BETWEEN 2 AND 6""",
+        "p4_found": f"""
+            WITH {_ENTRIES},
+            tok AS (SELECT seq, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM entries),
+            sh AS (SELECT DISTINCT seq, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS s FROM tok WHERE len(t) >= 20),
+            n AS (SELECT seq, count(*) AS n FROM sh GROUP BY seq),
+            c AS (SELECT x.seq AS seq_a, y.seq AS seq_b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.seq < y.seq GROUP BY x.seq, y.seq)
+            SELECT seq_a, seq_b FROM c JOIN n p ON p.seq = seq_a JOIN n q ON q.seq = seq_b WHERE c * 5 >= 3 * (p.n + q.n - c)""",
     }
