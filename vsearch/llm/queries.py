@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vsearch.llm import near_dup, salience, splitting
+from vsearch.llm import near_dup, salience, splitting, vector_graph
 from vsearch.llm.entries import entry_texts
 from vsearch.runtime import table
 
@@ -36,6 +36,17 @@ def p2_term_scores(spark: SparkSession, d: str) -> DataFrame:
     return salience.term_scores(table(spark, d, "wal_entries")).withColumnRenamed("id", "seq")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, least=0.90)
+    return near.select(F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
+
+
+def p3_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry whose seq is divisible by 50, against all entries in all shards."""
+    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, probes=None, ask="id % 50 = 0", beam=64)
+    return near.select(F.col("id").alias("seq"), "rank", F.col("neighbour").alias("neighbour_seq"), F.round("similarity", 6).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_dup.expanded(*near_dup.near_duplicates(table(spark, d, "wal_entries")))
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
