@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vsearch.llm import near_dup, salience, splitting, vector_graph
+from vsearch.llm import contamination, mixing, near_dup, salience, splitting, vector_graph
 from vsearch.llm.entries import entry_texts
 from vsearch.runtime import table
 
@@ -56,6 +56,26 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(*near_dup.near_duplicates(table(spark, d, "wal_entries"))).withColumnsRenamed({"id": "seq", "rep": "class_id"})
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), F.explode("items").alias("item_id"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.without_spans(table(spark, d, "documents"), _leaks(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -77,6 +97,12 @@ def oracle_sql() -> dict[str, str]:
             post AS (SELECT seq, term, count(*) AS tf FROM tok GROUP BY seq, term),
             terms AS (SELECT term, count(*) AS n FROM post GROUP BY term)
             SELECT seq, term FROM post JOIN terms USING (term) WHERE tf >= 3 AND n BETWEEN 2 AND 6""",
+        "p6_found": """
+            WITH doc AS (SELECT doc_id, ' ' || list_aggregate(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'string_agg', ' ') || ' ' AS s FROM documents WHERE text IS NOT NULL),
+            item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM eval_items WHERE text IS NOT NULL),
+            gram AS (SELECT DISTINCT item_id, ' ' || list_aggregate(t[i : i + least(len(t), 12) - 1], 'string_agg', ' ') || ' ' AS g
+                     FROM item, range(1, 100000) r(i) WHERE len(t) > 0 AND i <= len(t) - least(len(t), 12) + 1)
+            SELECT DISTINCT doc_id, item_id FROM doc JOIN gram ON contains(s, g)""",
         "p4_found": f"""
             WITH {_ENTRIES},
             tok AS (SELECT seq, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM entries),
