@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vsearch.llm import contamination, mixing, near_dup, salience, splitting, vector_graph
+from vsearch.llm import contamination, mixing, near_dup, salience, sentences, splitting, vector_graph
 from vsearch.llm.entries import entry_texts
 from vsearch.runtime import table
 
@@ -76,6 +76,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"), with_text=False).select(F.col("id").alias("doc_id"), "end_pos")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
