@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vsearch.llm import contamination, mixing, near_dup, salience, sentences, splitting, vector_graph
+from vsearch.llm import contamination, mixing, near_dup, salience, sentences, splitting, template, vector_graph
 from vsearch.llm.entries import entry_texts
 from vsearch.runtime import table
 
@@ -56,6 +56,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(*near_dup.near_duplicates(table(spark, d, "wal_entries"))).withColumnsRenamed({"id": "seq", "rep": "class_id"})
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return template.clean_texts(table(spark, d, "wal_entries"), with_text=False).select(F.col("id").alias("seq"), F.explode("kinds").alias("markup"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return template.clean_texts(table(spark, d, "wal_entries")).withColumnRenamed("id", "seq")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
