@@ -1 +1,11 @@
 """A retrieval and text-processing engine on Spark DataFrames."""
+
+from vsearch.client import Collection, Hit
+from vsearch.operators.chunking import chunk_documents
+from vsearch.operators.knn import knn, knn_batch
+from vsearch.operators.lexical import bm25, bm25_batch
+from vsearch.sources.files import parse_file, read_files
+from vsearch.store import Store
+
+__version__ = "0.1.0"
+__all__ = ["Collection", "Hit", "Store", "bm25", "bm25_batch", "chunk_documents", "knn", "knn_batch", "parse_file", "read_files"]

@@ -22,6 +22,7 @@ class Meta:
     metric: str
     index_type: str
     data: str | None
+    batch: int = -1  # the last streamed batch that the data holds
 
 
 class Store:
@@ -72,14 +73,15 @@ class Store:
             return self.spark.createDataFrame([], DOCS)
         return self.spark.read.schema(DOCS).parquet(os.path.join(self.path, meta.data))
 
-    def commit(self, docs: DataFrame, dimension: int | None = None) -> int:
-        """Write ``docs`` as the next version and empty the log, whose entries it holds."""
+    def commit(self, docs: DataFrame, dimension: int | None = None, batch: int | None = None, truncate: bool = True) -> int:
+        """Write ``docs`` as the next version and, unless told otherwise, empty the log, whose entries it holds."""
         meta = self.meta()
         version = meta.version + 1
         data = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
         docs.select(*DOCS.names).write.option("compression", "zstd").parquet(os.path.join(self.path, data))
-        self._point(Meta(version, dimension or meta.dimension, meta.metric, meta.index_type, data))
-        self.log.truncate()
+        self._point(Meta(version, dimension or meta.dimension, meta.metric, meta.index_type, data, meta.batch if batch is None else batch))
+        if truncate:
+            self.log.truncate()
         return version
 
     def recover(self) -> DataFrame:
