@@ -109,10 +109,8 @@ def embedding(text: Column, embedder: Embedder) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             good = s.map(lambda t: isinstance(t, str) and bool(t.strip()))
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            if good.any():
-                out[good] = list(embedder.embed_batch(s[good].tolist()))
-            yield out
+            made = iter(embedder.embed_batch(s[good].tolist()) if good.any() else ())
+            yield pd.Series([next(made) if g else None for g in good], index=s.index, dtype=object)
 
     return run(text)
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vsearch.functions.vector import norm
@@ -84,7 +85,7 @@ def build_cells(docs: DataFrame, cells: int = 16, metric: str = "cosine", versio
     dim = len(sample[0])
     x = np.array([v for v in sample if len(v) == dim and np.isfinite(v).all()], np.float64)
     centroids = _kmeans(_prepared(x, metric), min(cells, len(x)))
-    schema = docs.schema.add("cell", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("cell", T.IntegerType())])
     rows = docs.mapInArrow(lambda it: _assign(it, centroids, metric), schema)
     if path:
         rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
