@@ -25,13 +25,16 @@ def parsed(metadata: Column) -> Column:
     return F.try_parse_json(metadata)
 
 
-def _path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def _member(meta: Column, key: str) -> Column:
+    """The member of a top-level key, whatever its characters."""
+    if "'" not in key and "\\" not in key:
+        return F.try_variant_get(meta, f"$['{key}']", "variant")
+    return F.try_element_at(F.try_variant_get(meta, "$", "map<string,variant>"), F.lit(key))
 
 
 class _Value:
     def __init__(self, meta: Column, key: str):
-        self.raw = F.try_variant_get(meta, _path(key), "variant")
+        self.raw = _member(meta, key)
         self.kind = F.schema_of_variant(self.raw)
 
     present = property(lambda self: self.raw.isNotNull())

@@ -119,35 +119,42 @@ def replay(docs: DataFrame, log: DataFrame, revive: bool = False) -> DataFrame:
     marks an existing document. New documents follow in the order of the entry
     that created them.
 
-    The end state of an id follows from the last update, the last delete and
-    the first insert (with ``revive``: the first one after the last delete), so
-    entries are aggregated before the shuffle and an id with very many of them
-    is no more work than others.
+    The end state of an id follows from the last entry that sets its content
+    (the last update, the first insert, with ``revive`` also an insert right
+    after a delete) and the last delete, so entries are aggregated before the
+    shuffle and an id with very many of them is no more work than others.
     """
     entries = stage(log_entries(log), "log")
     row = F.struct(*CONTENT)
-    is_op = lambda o: F.col("op") == o
-    per = entries.groupBy("doc_id").agg(
-        F.max(F.when(is_op("update"), F.col("seq"))).alias("u"),
-        F.max(F.when(is_op("delete"), F.col("seq"))).alias("d"),
-        F.min(F.when(is_op("insert"), F.col("seq"))).alias("i"),
-        F.min(F.when(is_op("insert") | is_op("update"), F.col("seq"))).alias("born"),
-        F.max_by(F.when(is_op("update"), row), F.when(is_op("update"), F.col("seq"))).alias("urow"),
-        F.min_by(F.when(is_op("insert"), row), F.when(is_op("insert"), F.col("seq"))).alias("irow"),
-    )
     if revive:
-        per = stage(per, "ops")
-        later = entries.filter(is_op("insert")).join(per.select("doc_id", "d"), "doc_id").filter("seq > d").groupBy("doc_id").agg(F.min("seq").alias("r"), F.min_by(row, "seq").alias("rrow"))
-        per = per.join(later, "doc_id", "left")
+        # an insert counts if the entry before it, of the same id, is a delete; entries and their successors meet by number, so no id is a group of its own
+        entries = dense_number(entries, ["doc_id", "seq"], "n")
+        before = entries.select((F.col("n") + 1).alias("n"), F.col("doc_id").alias("_doc"), F.col("op").alias("_op"))
+        entries = entries.join(before, "n", "left").withColumn("_first", ~F.coalesce(F.col("_doc") == F.col("doc_id"), F.lit(False)))
+        again = (F.col("op") == "insert") & ~F.col("_first") & (F.col("_op") == "delete")
+        start = (F.col("op") == "insert") & F.col("_first")
     else:
-        per = per.withColumn("r", F.lit(None).cast("long")).withColumn("rrow", F.lit(None).cast(entries.select(row.alias("x")).schema["x"].dataType))
+        again, start = F.lit(False), F.col("op") == "insert"
+
+    def seqs(which: Column) -> Column:
+        return F.when(which, F.col("seq"))
+
+    updated, inserts = F.col("op") == "update", F.col("op") == "insert"
+    per = entries.groupBy("doc_id").agg(
+        F.max(seqs(F.col("op") == "delete")).alias("d"),
+        F.min(seqs(inserts | updated)).alias("born"),
+        F.max(seqs(updated | again)).alias("u"),
+        F.max_by(F.when(updated | again, row), seqs(updated | again)).alias("urow"),
+        F.min(seqs(start)).alias("i"),
+        F.min_by(F.when(start, row), seqs(start)).alias("irow"),
+    )
     old = docs.select("doc_id", F.lit(True).alias("_there"), F.col("active").alias("_active"))
     state = per.join(old, "doc_id", "left")
     there = F.coalesce("_there", F.lit(False))
-    # an insert after the last delete counts if no update came after that delete
-    revived = F.col("r").isNotNull() & (F.col("u").isNull() | (F.col("u") < F.col("d"))) if revive else F.lit(False)
-    since = F.coalesce(F.when(revived, F.col("r")), F.col("u"), F.when(~there, F.col("i")))
-    content = F.when(revived, F.col("rrow")).when(F.col("u").isNotNull(), F.col("urow")).when(~there, F.col("irow"))
+    # the first insert counts if nothing set the document before
+    opens = (~there | ~F.col("_active")) if revive else ~there
+    since = F.coalesce("u", F.when(opens, F.col("i")))
+    content = F.when(F.col("u").isNotNull(), F.col("urow")).when(opens, F.col("irow"))
     exists = there | F.col("born").isNotNull()
     deleted = F.when(since.isNotNull(), F.coalesce(F.col("d") > since, F.lit(False))).otherwise(F.col("d").isNotNull() | ~F.coalesce("_active", F.lit(True)))
     state = stage(state.filter(exists).select("doc_id", there.alias("_there"), "born", content.alias("_row"), (~deleted).alias("_live")), "state")

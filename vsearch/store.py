@@ -9,8 +9,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vsearch.operators import mutate
+from vsearch.runtime import stage
 from vsearch.sources.log import LogWriter
 from vsearch.types import DOCS, StoreError
 
@@ -89,7 +91,8 @@ class Store:
         docs = self.load()
         if not self.log.has_entries():
             return docs
-        self.commit(mutate.replay(docs, self.log.read(self.spark), revive=True))
+        whole = stage(mutate.replay(docs, self.log.read(self.spark), revive=True), "recovered")
+        self.commit(whole, self.meta().dimension or whole.agg(F.max(F.size("vector"))).first()[0])
         return self.load()
 
     def vacuum(self, keep: int = 2) -> list[str]:

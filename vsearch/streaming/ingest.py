@@ -13,7 +13,7 @@ from vsearch.store import Store
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Entries of the log files that arrive in ``path``, in the order of (file number, line); unreadable lines are left out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", "true").text(path)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
     rows = lines.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "line"))
     number = F.coalesce(F.try_to_number(F.regexp_extract("_file", r"(\d+)[^/\d]*$", 1), F.lit("9" * 18)).cast("long"), F.lit(0))
     return rows.select((number * (1 << 24) + F.col("_at")).alias("seq"), parsed_line(F.col("line")).alias("e")).filter("e IS NOT NULL").select("seq", "e.*")
