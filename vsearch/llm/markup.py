@@ -70,9 +70,9 @@ _MARKDOWN = re.compile(
     r"|(?<!\!)\[(?P<text>[^\[\]\n]+)\]\((?P<url><[^<>\n]*>|[^\s()]+)(?:[ \t]+\"[^\"\n]*\")?\)|!\[(?P<alt>[^\[\]\n]*)\]\([^\s()]+(?:[ \t]+\"[^\"\n]*\")?\)"
     r"|\[[^\[\]\n]+\]\[[^\[\]\n]*\](?=(?s:.*)^[ ]{0,3}\[[^\]\n]+\]:)|^[ ]{0,3}\[(?P<ref>[^\]\n]+)\]:[ \t]*\S+[^\n]*$"
     r"|<(?:https?|ftp|mailto):[^\s<>]+>|<[\w.+-]+@[\w-]+(?:\.[\w-]+)+>"
-    r"|(?P<b>\*\*|__)(?<![\w\\].)(?=[^\s*_])(?P<bold>[^\n]*?[^\s*_\\])(?P=b)(?!\w)"
+    r"|(?P<b>\*\*|__)(?<![\w\\].)(?=[^\s*_])(?P<bold>[^\n]*?[^\s*_\\])(?P=b)(?!\w|\.\w)"
     r"|~~(?=[^\s~])(?P<del>[^~\n]*?[^\s~])~~"
-    r"|(?<![\w*\\])\*(?=[^\s*])(?P<em>[^*\n]*?[^\s*\\])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])(?P<em2>[^_\n]*?[^\s_\\])_(?![\w_])"
+    r"|(?<![\w*\\])\*(?=[^\s*./])(?P<em>[^*\n]*?[^\s*\\])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])(?P<em2>[^_\n]*?[^\s_\\])_(?![\w_])"
     r"|^(?P<quote>[ ]{0,3}>[ \t]?(?=[^\s=]))"
     r"|^(?P<hrow>[^\n]*\|[^\n]*)\n[ ]{0,3}(?P<delim>\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?)[ \t]*$",
     re.M,

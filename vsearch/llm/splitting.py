@@ -102,14 +102,14 @@ class _Packer:
 def split_text(text: str, size: int, overlap: int) -> list[tuple[int, int, int, bool]]:
     """(piece start, new content start, end, forced) of every piece, in order.
 
-    A text of at most ``size`` characters is one piece. Piece i is
+    A text of at most ``size`` characters is one piece, an empty one none. Piece i is
     ``text[start:end]``; it begins with the last ``overlap`` characters before
     its new content, and all new contents joined are the text.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     if len(text) <= size:
-        return [(0, 0, len(text), False)]
+        return [(0, 0, len(text), False)] if text else []
     p = _Packer(text, size, overlap)
     spans = p.merge(p.pack(0, len(text)), size)
     return [(max(0, a - overlap), a, b, forced) for a, b, forced in spans]
@@ -152,4 +152,4 @@ def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", s
 def with_specs(entries: DataFrame, specs: DataFrame) -> DataFrame:
     """Entries with the chunk size and overlap of their collection; those without a spec drop out."""
     s = specs.select(F.col("coll_name").alias("_coll"), "chunk_size", "overlap")
-    return entries.join(broadcast_if_small(s, 10_000), F.col("coll_name") == F.col("_coll")).drop("_coll")
+    return entries.drop("chunk_size", "overlap", "_coll").join(broadcast_if_small(s, 10_000), F.col("coll_name") == F.col("_coll")).drop("_coll")
