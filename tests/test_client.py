@@ -42,6 +42,8 @@ def test_changes(col):
     assert col.insert("d3", "third") is True
     assert col.delete("d1") is True and col.delete("d1") is False
     assert "d1" not in col and col.has_document("d1") and len(col) == 2
+    assert col.get_metadata("d1") == {"lang": "en"} and len(col.get_vector("d1")) == 16 and col.get_metadata("x") is None and col.get_vector("x") is None
+    assert col.records().columns == ["slot", "doc_id", "text", "metadata"] and col.records(True).count() == 2
     with pytest.raises(StoreError):
         col.add("d1", "deleted ids are taken too")
     col.update("d1", "back again")

@@ -93,3 +93,18 @@ def test_filter_then_search_is_search_over_the_filtered(docs):
     a = plans.search(docs, q, 3, {"even": True}).select("doc_id", "score").collect()
     b = plans.search(docs.filter("slot % 2 = 0"), q, 3).select("doc_id", "score").collect()
     assert a == b
+
+
+def test_written_index(spark, docs, tmp_path):
+    index = lexical.Lexicon(str(tmp_path / "index"), buckets=4).build(docs.filter("slot < 3"))
+    index.add(docs.filter("slot >= 3"))
+    for query in ("python language", "language language rust", "zzz", ""):
+        got = {r["slot"]: r["score"] for r in index.search(spark, query).collect()}
+        assert got == pytest.approx(by_hand(query, TEXTS))
+    index.remove(docs.filter("slot IN (0, 5)").select("slot"))
+    kept = {i: t for i, t in enumerate(TEXTS) if i not in (0, 5)}
+    want = dict(zip(kept, range(len(kept))))
+    hand = by_hand("python", list(kept.values()))
+    assert {r["slot"]: r["score"] for r in index.search(spark, "python").collect()} == pytest.approx({i: hand[n] for i, n in want.items() if n in hand})
+    plan = index.postings(spark, ["python"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan

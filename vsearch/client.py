@@ -279,6 +279,19 @@ class Collection:
         r = mutate.get(self.docs, doc_id).first()
         return {"doc_id": r["doc_id"], "text": r["text"], "vector": r["vector"], "metadata": json.loads(r["metadata"] or "{}")} if r else None
 
+    def get_metadata(self, doc_id: str) -> dict[str, Any] | None:
+        """Of a deleted document too."""
+        r = mutate.get(self.docs, doc_id, deleted=True).select("metadata").first()
+        return json.loads(r[0] or "{}") if r else None
+
+    def get_vector(self, doc_id: str) -> list[float] | None:
+        """Of a deleted document too."""
+        r = mutate.get(self.docs, doc_id, deleted=True).select("vector").first()
+        return r[0] if r else None
+
+    def records(self, include_vector: bool = False) -> DataFrame:
+        return mutate.records(self.docs, include_vector)
+
     def has_document(self, doc_id: str) -> bool:
         """Whether the id exists, deleted or not."""
         return self._state(doc_id) is not None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vsearch.runtime import broadcast_if_small
 from vsearch.types import RequestError
 
 RANK_OFFSET = 60.0
@@ -35,7 +36,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, alpha: float | Column, top_k: int |
         sparse.select("query_id", "slot", F.col("rank").alias("sparse_rank")), ["query_id", "slot"], "full"
     )
     if params is not None:
-        both = both.join(F.broadcast(params), "query_id")
+        both = both.join(broadcast_if_small(params), "query_id")
     leg = lambda w, r: F.coalesce(w / (RANK_OFFSET + F.col(r)), F.lit(0.0))
     fused = both.withColumn("score", leg(alpha, "dense_rank") + leg(1 - alpha, "sparse_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last())

@@ -176,8 +176,14 @@ def collection_info(docs: DataFrame) -> DataFrame:
     )
 
 
-def get(docs: DataFrame, doc_id: str) -> DataFrame:
-    return docs.filter((F.col("doc_id") == doc_id) & F.col("active"))
+def get(docs: DataFrame, doc_id: str, deleted: bool = False) -> DataFrame:
+    """The row of an id; of a deleted one only if asked for."""
+    return docs.filter((F.col("doc_id") == doc_id) & (F.col("active") | F.lit(deleted)))
+
+
+def records(docs: DataFrame, include_vector: bool = False) -> DataFrame:
+    """Active rows in slot order, the vectors only if asked for, else they aren't read."""
+    return order_of(docs).select("slot", "doc_id", "text", "metadata", *(["vector"] if include_vector else []))
 
 
 def order_of(docs: DataFrame) -> DataFrame:

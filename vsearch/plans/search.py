@@ -14,7 +14,7 @@ from vsearch.operators import ann
 from vsearch.operators.fusion import candidate_depth, check_alpha, rrf
 from vsearch.operators.knn import check_k, check_metric, knn, knn_batch
 from vsearch.operators.lexical import bm25, bm25_batch
-from vsearch.runtime import broadcast_if_small
+from vsearch.runtime import BROADCAST_ROWS, broadcast_if_small
 from vsearch.types import RequestError
 
 
@@ -28,29 +28,34 @@ def eligible(filters: Mapping[str, Any] | None) -> Column:
     return F.col("active") & compile_filters(filters, parsed(F.col("metadata"))) if filters else F.col("active")
 
 
-def hydrate(hits: DataFrame, docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Ids, texts and metadata of ranked slots, fetched after the cut to top k; scores to 6 digits."""
+def _hinted(hits: DataFrame, most: int) -> DataFrame:
+    """``hits``, of at most ``most`` rows, to be broadcast if that is few; the bound is known without running the search."""
+    return F.broadcast(hits) if most <= BROADCAST_ROWS else hits
+
+
+def hydrate(hits: DataFrame, docs: DataFrame, most: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Ids, texts and metadata of at most ``most`` ranked slots, fetched after the cut to top k; scores to 6 digits."""
     body = docs.filter("active").select("slot", "doc_id", "text", "metadata")
-    return body.join(broadcast_if_small(hits), "slot").select(*keys, "rank", "doc_id", "text", F.round("score", 6).alias("score"), "metadata")
+    return body.join(_hinted(hits, most), "slot").select(*keys, "rank", "doc_id", "text", F.round("score", 6).alias("score"), "metadata")
 
 
 def search(docs: DataFrame, query: Sequence[float], top_k: int = 5, filters: Mapping[str, Any] | None = None, metric: str = "cosine", index: ann.CellIndex | None = None, nprobe: int = 8) -> DataFrame:
     """(rank, doc_id, text, score, metadata) of the nearest active documents that meet the filters, which apply before the search."""
     mask = eligible(filters)
     hits = ann.cell_search(index, query, top_k, nprobe, mask) if index else knn(docs, query, top_k, metric, mask)
-    return hydrate(hits.drop("id"), docs).orderBy("rank")
+    return hydrate(hits.drop("id"), docs, top_k).orderBy("rank")
 
 
 def search_batch(docs: DataFrame, queries: DataFrame, top_k: int = 5, filters: Mapping[str, Any] | None = None, metric: str = "cosine") -> DataFrame:
     """As :func:`search` for every row of ``queries`` (query_id, query_vector), with query_id."""
-    return hydrate(knn_batch(docs, queries, top_k, metric, eligible(filters)), docs, ["query_id"])
+    return hydrate(knn_batch(docs, queries, top_k, metric, eligible(filters)), docs, top_k * queries.count(), ["query_id"])
 
 
 def keyword_search(docs: DataFrame, query: str, top_k: int = 5, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """As :func:`search`, by BM25; statistics are those of all active documents."""
     check_query(query)
     allow = docs.filter(eligible(filters)).select("slot") if filters else None
-    return hydrate(bm25(docs.filter("active"), query, top_k, allow=allow), docs).orderBy("rank")
+    return hydrate(bm25(docs.filter("active"), query, top_k, allow=allow), docs, top_k).orderBy("rank")
 
 
 def hybrid_search(
@@ -66,7 +71,7 @@ def hybrid_search(
     sparse = bm25(docs.filter("active"), text, depth, allow=allow)
     tag = F.lit(0).alias("query_id")
     fused = rrf(dense.select(tag, "slot", "rank"), sparse.select(tag, "slot", "rank"), alpha, top_k)
-    return hydrate(fused.drop("query_id"), docs).orderBy("rank")
+    return hydrate(fused.drop("query_id"), docs, top_k).orderBy("rank")
 
 
 def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapping[str, Any]], metric: str = "cosine") -> DataFrame:
@@ -95,4 +100,5 @@ def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapp
     sparse = bm25_batch(live, asked, allow=allow, group="coll_name", query_k="depth").select("query_id", "slot", "rank")
     params = asked.select("query_id", "alpha", F.col("top_k").alias("k"))
     fused = rrf(dense, sparse, F.col("alpha"), F.col("k"), params)
-    return docs.select("slot", "doc_id").join(broadcast_if_small(fused), "slot").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    most = asked.agg(F.coalesce(F.sum("top_k"), F.lit(0))).first()[0]
+    return docs.select("slot", "doc_id").join(_hinted(fused, most), "slot").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))

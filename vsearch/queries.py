@@ -7,6 +7,7 @@ text corpus ``documents``; every query runs over its whole tables.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import partial
 from typing import Any
@@ -20,7 +21,7 @@ from vsearch.functions.filters import compile_filters, parsed
 from vsearch.functions.text import chunks, tokenize
 from vsearch.operators import ann, chunking, fusion, knn, lexical, mutate
 from vsearch.plans import search as plans
-from vsearch.runtime import stage, table
+from vsearch.runtime import shared_dir, stage, table
 from vsearch.sources.log import parse_lines
 from vsearch.streaming.ingest import op_counts
 
@@ -65,6 +66,12 @@ def _knn(spark, d, metric="cosine", k=TOP_K, mask=None, zero=False, coll=None):
     return _scored(found.withColumnRenamed("id", "doc_id"), "doc_id")
 
 
+def knn_embeddings(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("slot"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = rows.filter("slot = 0").first()["vector"]
+    return _scored(knn.knn(rows, q, TOP_K).withColumnRenamed("id", "vec_id"), "vec_id")
+
+
 def _batch(spark, d, metric="cosine", filters=None, native=False):
     mask = plans.eligible(filters)
     run = knn.knn_batch_native if native else knn.knn_batch
@@ -218,6 +225,13 @@ def bm25_batch(spark, d):
     return _scored(lexical.bm25_batch(live(spark, d), search_queries(spark, d), TOP_K), "query_id", "slot")
 
 
+def bm25_indexed(spark, d):
+    """A search of an index in files; the folder is a stage of its own."""
+    index = lexical.Lexicon(f"{shared_dir(spark)}/stage/lexicon-{uuid.uuid4().hex}").build(docs(spark, d))
+    index.remove(docs(spark, d).filter("NOT active").select("slot"))
+    return _scored(index.search(spark, TEXT, TOP_K), "slot")
+
+
 def bm25_documents(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("slot"), "text")
     return _scored(lexical.bm25_batch(rows, search_queries(spark, d), TOP_K), "query_id", "slot")
@@ -404,6 +418,10 @@ def list_active(spark, d):
     return mutate.order_of(docs(spark, d)).select("slot", "doc_id")
 
 
+def list_records(spark, d):
+    return mutate.records(docs(spark, d), include_vector=True).select("slot", "doc_id", "text", "metadata", F.size("vector").cast("long").alias("dim"))
+
+
 def log_lines(spark, d):
     e = parse_lines(table(spark, d, "wal_lines"))
     return e.select("seq", "op", "doc_id", "text", F.size("vector").cast("long").alias("dim"))
@@ -473,6 +491,7 @@ def queries() -> dict[str, Query]:
         "hybrid_batch": hybrid_batch,
         "vector_norms": vector_norms,
         "knn_cosine": _knn,
+        "knn_embeddings": knn_embeddings,
         "knn_l2": partial(_knn, metric="l2"),
         "knn_cosine_masked": lambda s, d: _knn(s, d, mask=compile_filters({"lang": {"$in": LANGS}}, parsed(F.col("metadata")))),
         "knn_k_exceeds_n": partial(_knn, k=1_000_000, coll="weather"),
@@ -496,6 +515,7 @@ def queries() -> dict[str, Query]:
         "bm25_with_deleted": partial(_bm25, everything=True),
         "bm25_batch": bm25_batch,
         "bm25_documents": bm25_documents,
+        "bm25_indexed": bm25_indexed,
         "hybrid_rrf": _hybrid,
         "hybrid_alpha0": partial(_hybrid, alpha=0.0),
         "hybrid_alpha1": partial(_hybrid, alpha=1.0),
@@ -507,7 +527,7 @@ def queries() -> dict[str, Query]:
         "chunk_by_spec": chunk_by_spec,
         "chunk_doc_ids_meta": chunk_doc_ids_meta,
         "chunk_short_text": chunk_short_text,
-        **{f.__name__: f for f in (add_absent, update_rows, upsert, soft_delete, compact_renumber, wal_replay, wal_replay_revive, collection_info, get_by_id, list_active, log_lines, log_windows)},
+        **{f.__name__: f for f in (add_absent, update_rows, upsert, soft_delete, compact_renumber, wal_replay, wal_replay_revive, collection_info, get_by_id, list_active, list_records, log_lines, log_windows)},
         "ivf_search": partial(_cells, nprobe=10),
         "ivf_nprobe_all": partial(_cells, nprobe=16),
         **{f.__name__: f for f in (ivf_search_batch, lsh_search, ann_recall, embed_hash_udf, snapshot_roundtrip)},
@@ -549,6 +569,12 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": f"SELECT count(*) AS n_docs, sum(dl)::BIGINT AS total_tokens, round(sum(dl) / count(*), 6) AS avgdl FROM {dl}",
         "idf": f"{post} SELECT term, round(ln(1 + ((SELECT count(*) FROM {text}) - count(DISTINCT slot) + 0.5) / (count(DISTINCT slot) + 0.5)), 6) AS idf FROM p GROUP BY term",
         "bm25_topk": _bm25_sql(),
+        "bm25_indexed": _bm25_sql(),
+        "knn_embeddings": f"""
+            WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS a, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS b FROM embeddings),
+            r AS (SELECT vec_id, {_COS} AS score, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM p)
+            SELECT vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= {TOP_K}""",
+        "list_records": f"SELECT slot, doc_id, text, metadata, len(vector) AS dim FROM {text}",
         "bm25_repeated_term": _bm25_sql("budget budget budget planner"),
         "bm25_no_match": f"SELECT count(*) AS n FROM ({_bm25_sql('zzzzqqqq')})",
         "bm25_params_k1_b": _bm25_sql(k1=0.9, b=0.4),
