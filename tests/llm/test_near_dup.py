@@ -50,6 +50,13 @@ def test_against_all_pairs(spark, texts, similarity, width):
     assert len(want) > 20 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_hot_variants_are_joined_in_blocks(spark, texts, monkeypatch):
+    whole = {(r["a"], r["b"]) for r in N.near_duplicates(frame(spark, texts.items()))[0].collect()}
+    monkeypatch.setattr(N, "BLOCK_TEXTS", 1)
+    rows = N.near_duplicates(frame(spark, texts.items()))[0].collect()
+    assert {(r["a"], r["b"]) for r in rows} == whole and len(rows) == len(whole)
+
+
 def test_variants_meet_in_the_middle():
     rng = np.random.default_rng(1)
     met = 0

@@ -30,6 +30,8 @@ TABLES = 7
 WIDTH = 5
 #: Most differing bits of two 128-bit similarity hashes; pairs at 0.6 differ in 29 on average with a deviation of 4.8, unrelated ones in 63.
 MOST_BITS = 48
+#: A variant that more texts share is joined in blocks of about so many, each a task's share.
+BLOCK_TEXTS = 2_000
 #: Classes of equal shingle sets with more members than this are linked through their first member only.
 EXPAND = 20
 
@@ -125,6 +127,20 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
 
 
+def _colliding(left: DataFrame, right: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b), a < b, of texts that share a variant and whose sizes and similarity hashes allow the similarity."""
+    a, b = left.alias("a"), (left if right is None else right).alias("b")
+    close = (
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.block") == F.col("b.block"))
+        & (F.col("a.id") < F.col("b.id"))
+        & (F.col("a.n") >= F.col("b.n") * similarity - 1e-9)
+        & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9)
+        & (F.expr("bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)") <= MOST_BITS)
+    )
+    return a.join(b.hint("merge"), close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "seq", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, least_terms: int = LEAST_TERMS
 ) -> tuple[DataFrame, DataFrame]:
@@ -137,8 +153,8 @@ def near_duplicates(
 
     Null ids or texts, empty and short texts take no part. A text repeated
     under many ids is sketched for each but emits variants once. A variant that
-    very many texts share is split over tasks by the skewed-join handling of
-    adaptive execution; nothing is capped.
+    very many texts share is joined in blocks, so that no task has all their
+    pairs; nothing is capped.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") >= 2 * least_terms - 1)
@@ -148,16 +164,18 @@ def near_duplicates(
     classes = sketches.select("id", "set_hash").distinct().join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep")
 
     balls = reps.select("id", "n", "s0", "s1", F.explode("keys").alias("key"))
-    a, b = balls.alias("a"), balls.alias("b")
-    differing = F.expr("bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)")
-    close = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.id") < F.col("b.id"))
-        & (F.col("a.n") >= F.col("b.n") * similarity - 1e-9)
-        & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9)
-        & (differing <= MOST_BITS)
-    )
-    pairs = stage(a.join(b.hint("merge"), close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs")
+    counts = balls.groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > BLOCK_TEXTS)
+    hot = stage(counts.select("key", F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("blocks")), "hot-variants")
+    if hot.isEmpty():
+        pairs = _colliding(balls.withColumn("block", F.lit(0)), None, similarity)
+    else:
+        few = broadcast_if_small(hot)
+        shared = balls.join(few, "key")
+        # each text of one side meets all of the other in one block
+        left = shared.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+        right = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        pairs = _colliding(balls.join(few, "key", "left_anti").withColumn("block", F.lit(0)), None, similarity).unionByName(_colliding(left, right, similarity))
+    pairs = stage(pairs.distinct(), "pairs")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = entry_texts(rows.join(broadcast_if_small(ids), "id", "left_semi"), "id", "text")
