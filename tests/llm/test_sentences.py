@@ -12,6 +12,7 @@ CASES = [
     ("It waited ... and then ran. Really?! Yes…", ["It waited ... and then ran.", "Really?!", "Yes…"]),
     ("Missing space.Next one (with a note).Last", ["Missing space.", "Next one (with a note).", "Last"]),
     ("Done. 🚀 Next. 🙂🙂", ["Done. 🚀", "Next. 🙂🙂"]),
+    ("It is closed.\n🚀\n\nThe next.", ["It is closed.\n🚀", "The next."]),
     ("「もう満杯ですか。」と彼が聞いた。なぜ？はい！", ["「もう満杯ですか。」と彼が聞いた。", "なぜ？", "はい！"]),
     ("“满了吗？”，他问。比例是1.43。为什么？", ["“满了吗？”，他问。", "比例是1.43。", "为什么？"]),
     ("„Ist er voll?“, fragte sie am 15. Mai. Der Rest folgt, z. B. hier.", ["„Ist er voll?“, fragte sie am 15. Mai.", "Der Rest folgt, z. B. hier."]),

@@ -33,7 +33,7 @@ def words(n, seed=0, alphabet="abcdefgh"):
 def test_pieces_tile_the_text(size, overlap):
     rng = random.Random(1)
     for seed in range(60):
-        glue = [" ", "\n", "\n\n", ". ", "。", "\n# H\n", "\n- ", "\n```\n", "　"]
+        glue = [" ", "\n", "\n\n", ". ", "。", "\n# H\n", "\n- ", "\n```\n", "\u3000"]
         check("".join(w + rng.choice(glue) for w in words(rng.randint(0, 200), seed)), size, overlap)
         check("".join(words(80, seed)) + " x", size, overlap)
         check(" " * 300, size, overlap)

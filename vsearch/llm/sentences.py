@@ -41,9 +41,9 @@ ABBREVIATIONS = frozenset(
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
 _PARAGRAPH = re.compile(r"\r?\n[^\S\n]*\n\s*")
-_EMOJI = "[\U0001f000-\U0001faff☀-➿⬀-⯿️‍]"
+_EMOJI = "[\U0001f000-\U0001faff☀-➿⬀-⯿\ufe0f\u200d]"
 _CANDIDATE = re.compile(
-    rf"[{re.escape(MARKS)}]+(?:[   ]?»|[\"'”’“)\]」』）】》])*(?:[  ]?{_EMOJI}+)?|(?<=[ก-๛])[  ]+(?=[ก-๛])"
+    rf"[{re.escape(MARKS)}]+(?:[ \xa0\u202f]?»|[\"'”’“)\]」』）】》])*(?:[ \n\xa0]?{_EMOJI}+)?|(?<=[ก-๛])[ \u00a0]+(?=[ก-๛])"
 )
 _BEFORE = re.compile(r"[^\s\"“”„«»「」『』()\[\]（）【】¿¡]*\Z")
 _AFTER = re.compile(r"\s*([\"“„«「『(\[（【¿¡']*)\s*(\w+|\S|\Z)")
@@ -111,7 +111,7 @@ def candidates(p: str, following: str) -> list[Candidate]:
     started = 0
     for m in _CANDIDATE.finditer(p):
         a, b = m.span()
-        if p[a] in "  ":
+        if p[a] in " \u00a0":
             if a > reach:
                 while k < len(pairs) and pairs[k][0] < a:
                     if pairs[k][1] > reach:
@@ -124,7 +124,7 @@ def candidates(p: str, following: str) -> list[Candidate]:
         text = p[a:b]
         marks = len(text) - len(text.lstrip(MARKS))
         e = a + marks
-        while e < b and (p[e] in CLOSERS or p[e] in "   "):
+        while e < b and (p[e] in CLOSERS or p[e] in " \u00a0\u202f"):
             # an opening quote isn't the sentence's
             if p[e] == "“" and not any(o < a and c == e for o, c in pairs):
                 break
@@ -132,11 +132,11 @@ def candidates(p: str, following: str) -> list[Candidate]:
                 break
             if p[e] == "'" and p[e + 1 : e + 2].isalpha():
                 break
-            if p[e] in "   " and p[e + 1 : e + 2] != "»":
+            if p[e] in " \u00a0\u202f" and p[e + 1 : e + 2] != "»":
                 break
             e += 1
         closers = p[a + marks : e].strip()
-        if e < b and re.match(rf"[  ]?{_EMOJI}", p[e:b]):
+        if e < b and re.match(rf"[ \n\xa0]?{_EMOJI}", p[e:b]):
             e = b
         while k < len(pairs) and pairs[k][0] < a:
             if pairs[k][1] > reach:

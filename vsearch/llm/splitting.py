@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vsearch.runtime import broadcast_if_small
 
 #: Fixed: the characters next to which a text may be cut.
-BREAKS = " \t\n 　。！？"
+BREAKS = " \t\n\u00a0\u3000。！？"
 
 _HEADING = re.compile(
     r"^(?:(#{1,6})[ \t]|(={2,6})[^=\n]+={2,6}[ \t]*$|\\((?:sub){0,2})section\*?\{|<[hH]([1-6])[ >])", re.M
@@ -29,7 +29,7 @@ _LEVELS = (
     re.compile(r"\n[ \t]*\n\s*"),  # blocks
     re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t])"),  # list items
     re.compile(r"\n+"),  # lines
-    re.compile(r"[.!?…।؟]+[\"'”’»)\]]*[ \t 　]+|[。！？]+[」』”’）]*"),  # sentences
+    re.compile(r"[.!?…।؟]+[\"'”’»)\]]*[ \t\u00a0\u3000]+|[。！？]+[」』”’）]*"),  # sentences
     re.compile(f"[{BREAKS}]"),  # words
 )
 
