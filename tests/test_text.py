@@ -19,7 +19,7 @@ def test_tokenize(spark):
 
 
 def test_strip(spark):
-    assert column(spark, ["  a ", "　b\n", "\x1cc\x1f", "", None], strip) == ["a", "b", "c", "", None]
+    assert column(spark, ["  a ", "\u3000b\n", "\x1cc\x1f", "", None], strip) == ["a", "b", "c", "", None]
 
 
 def windows(text, size, overlap):

@@ -49,7 +49,7 @@ def knn(
     return top.withColumn("rank", F.row_number().over(Window.orderBy(best, "slot")))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarray, metric: str, groups: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarray, metric: str, groups: np.ndarray | None, flags: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Running top k of every query over a partition, then one batch of results."""
     dim, most = queries.shape[1], int(k.max())
     norms = np.linalg.norm(queries, axis=1, keepdims=True)
@@ -70,6 +70,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarra
             s = -np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries])
         if groups is not None:
             s[groups[:, None] != np.asarray(batch.column(2).to_pylist(), object)[right][None, :]] = -np.inf
+        if flags is not None:
+            fits = np.array(batch.column(batch.num_columns - 1).take(pa.array(right)).to_pylist(), bool).reshape(len(right), -1)
+            s[~fits[:, flags].T] = -np.inf
         s = np.concatenate([scores, s], axis=1)
         ids = np.concatenate([slots, np.broadcast_to(here, (len(queries), len(here)))], axis=1)
         # NaN is above all numbers, as in Spark
@@ -87,11 +90,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarra
 def knn_batch(
     docs: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "cosine", mask: Column | None = None, vector_col: str = "vector", slot_col: str = "slot",
     query_id: str = "query_id", query_vector: str = "query_vector", query_k: str | None = None, group_col: str | None = None, query_group: str | None = None,
+    flags_col: str | None = None, query_flag: str | None = None,
 ) -> DataFrame:
     """(query_id, slot, score, rank): the top k rows for every query, as :func:`knn` gives them one by one.
 
     ``query_k`` names a column of ``queries`` with each query's own k;
     ``group_col``/``query_group`` restrict a query to the rows of its group.
+    ``flags_col``, an array of booleans, and ``query_flag``, a place in it,
+    restrict a query to the rows that have its flag: many filters in one scan.
     Queries without a vector get no rows; all others must have one length.
     Queries go to the executors in blocks of BLOCK_QUERIES; each partition
     returns at most k rows a query, so what is shuffled doesn't grow with docs.
@@ -101,10 +107,13 @@ def knn_batch(
     rows = docs if mask is None else docs.filter(mask)
     k_col = F.col(query_k).cast("int") if query_k else F.lit(top_k)
     group = F.col(query_group) if query_group else F.lit(None).cast("string")
-    asked = queries.filter(F.size(query_vector) > 0).select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"), k_col.alias("k"), group.alias("g"))
+    flag = F.col(query_flag).cast("int") if query_flag else F.lit(0)
+    asked = queries.filter(F.size(query_vector) > 0).select(
+        F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"), k_col.alias("k"), group.alias("g"), flag.alias("f")
+    )
     n = asked.count()
     blocks = max(1, -(-n // BLOCK_QUERIES))
-    cols = [F.col(slot_col).cast("long"), F.col(vector_col)] + ([F.col(group_col).cast("string")] if group_col else [])
+    cols = [F.col(slot_col).cast("long"), F.col(vector_col)] + ([F.col(group_col).cast("string")] if group_col else []) + ([F.col(flags_col)] if flags_col else [])
     spark = docs.sparkSession
     out = None
     for b in range(blocks):
@@ -117,8 +126,9 @@ def knn_batch(
         q = np.array(block["v"].to_pylist(), np.float64)
         k = block["k"].to_numpy()
         g = np.asarray(block["g"].to_pylist(), object) if group_col else None
+        f = block["f"].to_numpy() if flags_col else None
         names = spark.createDataFrame(pa.table({"q": pa.array(range(len(q)), pa.int32()), "query_id": block["query_id"], "k": pa.array(k, pa.int32())}))
-        near = rows.select(*cols).mapInArrow(lambda it, q=q, k=k, g=g: _blocks(it, q, k, metric, g), "q int, slot long, score double")
+        near = rows.select(*cols).mapInArrow(lambda it, q=q, k=k, g=g, f=f: _blocks(it, q, k, metric, g, f), "q int, slot long, score double")
         one = near.join(F.broadcast(names), "q").drop("q")
         out = one if out is None else out.unionByName(one)
     if out is None:

@@ -83,20 +83,19 @@ def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapp
     or an alpha outside 0..1 aren't answered. Returns (query_id, rank, doc_id,
     score).
 
-    Documents are scanned once for each distinct filter in the dense search and
-    once in the keyword search, whatever the number of queries.
+    Each document is tested against every filter once, as an array of flags,
+    so the documents are scanned once for the dense search and once for the
+    keyword search, whatever the number of queries and filters.
     """
     check_metric(metric)
-    asked = queries.filter(~blank(F.col("query_text")) & F.col("alpha").between(0, 1) & (F.col("top_k") >= 1)).withColumn("depth", candidate_depth(F.col("top_k")))
-    live = docs.filter("active").withColumn("_meta", parsed(F.col("metadata")))
-    dense = allow = None
-    for text, parsed_filter in [(None, None), *filters.items()]:
-        mine = asked.filter(F.col("filter_json").isNull() if text is None else F.col("filter_json") == text)
-        fits = live.filter(compile_filters(parsed_filter, F.col("_meta")))
-        near = knn_batch(fits, mine, metric=metric, query_k="depth", group_col="coll_name", query_group="coll_name").select("query_id", "slot", "rank")
-        keep = fits.join(broadcast_if_small(mine.select("query_id", "coll_name")), "coll_name").select("query_id", "slot")
-        dense = near if dense is None else dense.unionByName(near)
-        allow = keep if allow is None else allow.unionByName(keep)
+    place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in filters]), F.col("filter_json")) if filters else F.lit(0), F.lit(0)).cast("int")
+    asked = queries.filter(~blank(F.col("query_text")) & F.col("alpha").between(0, 1) & (F.col("top_k") >= 1))
+    asked = asked.filter(F.col("filter_json").isNull() | F.col("filter_json").isin(list(filters))).withColumns({"depth": candidate_depth(F.col("top_k")), "flag": place})
+    meta = parsed(F.col("metadata"))
+    live = docs.filter("active").withColumn("flags", F.array(F.lit(True), *[compile_filters(f, meta) for f in filters.values()]))
+    dense = knn_batch(live, asked, metric=metric, query_k="depth", group_col="coll_name", query_group="coll_name", flags_col="flags", query_flag="flag").select("query_id", "slot", "rank")
+    wanted = broadcast_if_small(asked.select("query_id", "coll_name", "flag"))
+    allow = live.select("slot", "coll_name", "flags").join(wanted, "coll_name").filter(F.col("flags")[F.col("flag")]).select("query_id", "slot")
     sparse = bm25_batch(live, asked, allow=allow, group="coll_name", query_k="depth").select("query_id", "slot", "rank")
     params = asked.select("query_id", "alpha", F.col("top_k").alias("k"))
     fused = rrf(dense, sparse, F.col("alpha"), F.col("k"), params)
