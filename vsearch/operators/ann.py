@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vsearch.functions.vector import norm
-from vsearch.operators.knn import check_k, check_metric, knn, knn_batch
+from vsearch.operators.knn import BLOCK_QUERIES, TopK, check_k, check_metric, knn, scored, unit, vectors_of
 from vsearch.runtime import stage
 from vsearch.types import VectorError
 
@@ -42,10 +42,7 @@ class CellIndex:
 
 
 def _prepared(x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return x
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    return x if metric == "l2" else unit(x)
 
 
 def _kmeans(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
@@ -108,30 +105,50 @@ def cell_search(index: CellIndex, query: Sequence[float], top_k: int = 5, nprobe
     return knn(eligible, query, top_k, index.metric, id_col=id_col)
 
 
+def _cell_blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, asking: dict[int, np.ndarray], k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """Running top k over a partition; a row is scored for the queries that ask its cell."""
+    best = TopK(len(queries), k)
+    for batch in batches:
+        right, x = vectors_of(batch.column(1), queries.shape[1])
+        slots, cells = batch.column(0).to_numpy()[right], batch.column(2).to_numpy()[right]
+        order = np.argsort(cells, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            q = asking.get(int(cells[rows[0]])) if len(rows) else None
+            if q is not None:
+                best.merge(q, slots[rows], scored(queries[q], x[rows], metric))
+    yield best.batch(metric)
+
+
 def cell_search_batch(index: CellIndex, queries: DataFrame, top_k: int = 5, nprobe: int = 8) -> DataFrame:
-    """(query_id, slot, score, rank) for every query (query_id, query_vector), over its nearest cells."""
+    """(query_id, slot, score, rank) for every query (query_id, query_vector), over its nearest cells.
+
+    Queries without a vector of the index's length get no rows. A document is
+    scored only for queries that ask its cell; queries go out in blocks.
+    """
     check_k(top_k)
-    c = index.centroids
-    metric, n = index.metric, min(nprobe, len(index.centroids))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                q = _prepared(np.array(b.column(1).to_pylist(), np.float64), metric)
-                d = (c**2).sum(axis=1)[None, :] - 2 * q @ c.T
-                best = np.argsort(d, axis=1, kind="stable")[:, :n]
-                rows = pa.array(np.repeat(np.arange(len(q)), n))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(best.ravel().astype(np.int32))], names=["query_id", "query_vector", "cell"])
-
-    asked = queries.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>")).filter(F.size("query_vector") == c.shape[1])
-    routed = asked.mapInArrow(probe, "query_id long, query_vector array<double>, cell int")
-    tag = F.concat_ws(":", "query_id", "cell")
-    found = knn_batch(index.rows.filter("cell >= 0").withColumn("_cell", F.col("cell").cast("string")), routed.withColumn("_q", tag).withColumn("_cell", F.col("cell").cast("string")), top_k, metric,
-                      query_id="_q", group_col="_cell", query_group="_cell")
+    c, metric, n = index.centroids, index.metric, min(nprobe, len(index.centroids))
+    asked = queries.filter(F.size("query_vector") == c.shape[1]).select("query_id", F.col("query_vector").cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    rows = index.rows.filter("cell >= 0").select(F.col("slot").cast("long"), "vector", "cell")
+    out = None
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
+        if not block.num_rows:
+            continue
+        q = np.array(block["v"].to_pylist(), np.float64)
+        p = _prepared(q, metric)
+        probes = np.argsort((c**2).sum(axis=1)[None, :] - 2 * p @ c.T, axis=1, kind="stable")[:, :n]
+        asking = {int(cell): np.flatnonzero((probes == cell).any(axis=1)) for cell in np.unique(probes)}
+        names = index.rows.sparkSession.createDataFrame(pa.table({"q": pa.array(range(len(q)), pa.int32()), "query_id": block["query_id"]}))
+        wanted = rows.filter(F.col("cell").isin(sorted(asking))) if len(asking) < len(c) else rows
+        near = wanted.mapInArrow(lambda it, q=q, asking=asking: _cell_blocks(it, q, asking, top_k, metric), "q int, slot long, score double")
+        one = near.join(F.broadcast(names), "q").drop("q")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = asked.select("query_id", F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("score")).limit(0)
     best = F.round("score", 12)
     w = Window.partitionBy("query_id").orderBy(best.desc() if metric == "cosine" else best.asc(), "slot")
-    found = found.select(F.split("query_id", ":")[0].cast("long").alias("query_id"), "slot", "score")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
 def lsh_search(docs: DataFrame, query: Sequence[float], top_k: int = 5, bucket_length: float = 0.5, tables: int = 4, seed: int = 42) -> DataFrame:

@@ -49,42 +49,69 @@ def knn(
     return top.withColumn("rank", F.row_number().over(Window.orderBy(best, "slot")))
 
 
+class TopK:
+    """Running best ``k`` slots of each query, by score descending and slot."""
+
+    def __init__(self, queries: int, k: int):
+        self.scores = np.full((queries, k), -np.inf)
+        self.slots = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def merge(self, rows: np.ndarray, slots: np.ndarray, scores: np.ndarray) -> None:
+        """Offer ``slots`` to the queries ``rows``; scores of -inf are no candidates, NaN is above all numbers, as in Spark."""
+        k = self.scores.shape[1]
+        s = np.concatenate([self.scores[rows], scores], axis=1)
+        ids = np.concatenate([self.slots[rows], np.broadcast_to(slots, scores.shape)], axis=1)
+        key = np.round(np.where(np.isnan(s), np.inf, s), 12)
+        if s.shape[1] > 4 * k + 64:  # first drop what is surely below the k-th; its ties stay
+            least = np.partition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            width = max(int((key >= least[:, None]).sum(axis=1).max()), k)
+            if width < s.shape[1] // 2:
+                part = np.argpartition(-key, width - 1, axis=1)[:, :width]
+                s, ids, key = (np.take_along_axis(x, part, 1) for x in (s, ids, key))
+        order = np.lexsort((ids, -key), axis=1)[:, :k]
+        self.scores[rows], self.slots[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+
+    def batch(self, metric: str) -> pa.RecordBatch:
+        q, at = np.nonzero(self.scores != -np.inf)
+        value = self.scores[q, at] if metric == "cosine" else -self.scores[q, at]
+        return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(self.slots[q, at]), pa.array(value)], names=["q", "slot", "score"])
+
+
+def vectors_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of the vectors of ``dim`` elements."""
+    right = np.flatnonzero(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dim)
+    x = column.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return right, x.reshape(-1, dim)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of zeros stay."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def scored(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores to be maximised: cosines, or negative distances."""
+    if metric == "cosine":
+        return unit(queries) @ unit(x).T
+    return -np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarray, metric: str, groups: np.ndarray | None, flags: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Running top k of every query over a partition, then one batch of results."""
-    dim, most = queries.shape[1], int(k.max())
-    norms = np.linalg.norm(queries, axis=1, keepdims=True)
-    unit = np.divide(queries, norms, out=np.zeros_like(queries), where=norms > 0)
-    scores = np.full((len(queries), 0), -np.inf)
-    slots = np.zeros((len(queries), 0), np.int64)
+    best, everyone = TopK(len(queries), int(k.max())), np.arange(len(queries))
     for batch in batches:
-        lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        right = np.flatnonzero(lengths == dim)
+        right, x = vectors_of(batch.column(1), queries.shape[1])
         if not len(right):
             continue
-        x = batch.column(1).take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        here = batch.column(0).to_numpy()[right]
-        if metric == "cosine":
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            s = unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-        else:
-            s = -np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries])
+        s = scored(queries, x, metric)
         if groups is not None:
             s[groups[:, None] != np.asarray(batch.column(2).to_pylist(), object)[right][None, :]] = -np.inf
         if flags is not None:
             fits = np.array(batch.column(batch.num_columns - 1).take(pa.array(right)).to_pylist(), bool).reshape(len(right), -1)
             s[~fits[:, flags].T] = -np.inf
-        s = np.concatenate([scores, s], axis=1)
-        ids = np.concatenate([slots, np.broadcast_to(here, (len(queries), len(here)))], axis=1)
-        # NaN is above all numbers, as in Spark
-        key = np.where(np.isnan(s), np.inf if metric == "cosine" else -np.inf, s)
-        if s.shape[1] > most:
-            # every row that ties with the k-th stays in, so that ties are settled by slot
-            order = np.lexsort((ids, -np.round(key, 12)), axis=1)[:, :most]
-            s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-        scores, slots = s, ids
-    q, at = np.nonzero(scores != -np.inf)
-    value = scores[q, at] if metric == "cosine" else -scores[q, at]
-    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(slots[q, at]), pa.array(value)], names=["q", "slot", "score"])
+        best.merge(everyone, batch.column(0).to_numpy()[right], s)
+    yield best.batch(metric)
 
 
 def knn_batch(
