@@ -76,11 +76,11 @@ def build_cells(docs: DataFrame, cells: int = 16, metric: str = "cosine", versio
     check_metric(metric)
     if cells < 1:
         raise VectorError("cells must be at least 1")
-    sample = docs.filter(F.size("vector") > 0).orderBy(F.xxhash64("slot"), "slot").limit(FIT_ROWS).select("vector").toArrow()["vector"].to_pylist()
-    if not sample:
+    sample = docs.filter(F.size("vector") > 0).orderBy(F.xxhash64("slot"), "slot").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()
+    if not len(sample):
         raise VectorError("no vectors to index")
-    dim = len(sample[0])
-    x = np.array([v for v in sample if len(v) == dim and np.isfinite(v).all()], np.float64)
+    _, x = vectors_of(sample, len(sample[0]))
+    x = x[np.isfinite(x).all(axis=1)]
     centroids = _kmeans(_prepared(x, metric), min(cells, len(x)))
     schema = T.StructType([*docs.schema.fields, T.StructField("cell", T.IntegerType())])
     rows = docs.mapInArrow(lambda it: _assign(it, centroids, metric), schema)
