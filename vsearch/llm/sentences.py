@@ -283,10 +283,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Model:
-    sample = docs.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = sample.orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).limit(train_docs)
-    rows = sample.mapInArrow(_examples, "id long, label boolean, features array<string>").limit(train_rows).toArrow()
-    return fit(list(zip(rows["label"].to_pylist(), rows["features"].to_pylist())))
+    """The model for ``docs``, from the documents of least hash: only their candidates are brought to the driver, not their texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    hashed = F.xxhash64("id")
+    most = rows.select(hashed.alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    found = rows.filter(hashed <= F.lit(most)).mapInArrow(_examples, "id long, label boolean, features array<string>")
+    table = found.orderBy(hashed, "label", "features").limit(train_rows).toArrow()
+    return fit(list(zip(table["label"].to_pylist(), table["features"].to_pylist())))
 
 
 def _split(batches: Iterator[pa.RecordBatch], model: Model, with_text: bool) -> Iterator[pa.RecordBatch]:
