@@ -51,6 +51,16 @@ def test_null_short_and_empty_vectors_are_no_candidates(spark):
     assert [(r["query_id"], r["slot"]) for r in knn_batch(df, asked, 5).collect()] == [(7, 3)]
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_scores_that_are_not_finite(spark, metric):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, "a", [nan, 1.0]), (1, "b", [inf, 1.0]), (2, "c", [1.0, 1.0])], "slot long, doc_id string, vector array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    assert ids(knn(df, [1.0, 0.0], 5, metric)) == ["c"]
+    for run in (knn_batch, knn_batch_native):
+        assert [r["slot"] for r in run(df, asked, 5, metric).collect()] == [2]
+
+
 def test_bad_requests(docs):
     for k in (0, -1, 1.5):
         with pytest.raises(RequestError):

@@ -33,8 +33,9 @@ def knn(
     """(id, slot, score, rank) of the top_k rows: cosine descending or L2 ascending, ties by slot.
 
     ``mask`` restricts the candidates before scoring. Rows without a vector, or
-    with one of another length than the query, are no candidates; an empty
-    table or a mask that fits nothing gives no rows. Scores are not rounded.
+    with one of another length than the query, or whose score isn't a finite
+    number, are no candidates; an empty table or a mask that fits nothing gives
+    no rows. Scores are not rounded.
     """
     check_metric(metric)
     check_k(top_k)
@@ -45,10 +46,14 @@ def knn(
     v = F.col(vector_col)
     score = V.cosine(v, q, norm_b=F.lit(float(np.linalg.norm(np.asarray(query, np.float64))))) if metric == "cosine" else V.l2(v, q)
     best = F.desc("score") if metric == "cosine" else F.asc("score")
-    top = rows.filter(F.size(v) == len(query)).select(F.col(id_col).alias("id"), F.col(slot_col).alias("slot"), score.alias("score")).orderBy(best, "slot").limit(top_k)
+    top = rows.filter(F.size(v) == len(query)).select(F.col(id_col).alias("id"), F.col(slot_col).alias("slot"), score.alias("score")).filter(_finite(F.col("score"))).orderBy(best, "slot").limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(best, "slot")))
 
 
+def _finite(score: Column) -> Column:
+    return F.abs(score) < F.lit(float("inf"))
+
+
 class TopK:
     """Running best ``k`` slots of each query, by score descending and slot."""
 
@@ -57,11 +62,12 @@ class TopK:
         self.slots = np.full((queries, k), np.iinfo(np.int64).max)
 
     def merge(self, rows: np.ndarray, slots: np.ndarray, scores: np.ndarray) -> None:
-        """Offer ``slots`` to the queries ``rows``; scores of -inf are no candidates, NaN is above all numbers, as in Spark."""
+        """Offer ``slots`` to the queries ``rows``; those whose score isn't finite are no candidates."""
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
         k = self.scores.shape[1]
         s = np.concatenate([self.scores[rows], scores], axis=1)
         ids = np.concatenate([self.slots[rows], np.broadcast_to(slots, scores.shape)], axis=1)
-        key = np.round(np.where(np.isnan(s), np.inf, s), 12)
+        key = np.round(s, 12)
         if s.shape[1] > 4 * k + 64:  # first drop what is surely below the k-th; its ties stay
             least = np.partition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             width = max(int((key >= least[:, None]).sum(axis=1).max()), k)
@@ -87,7 +93,7 @@ def vectors_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; those of zeros stay."""
     n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    return np.divide(x, n, out=np.zeros_like(x), where=n != 0)
 
 
 def scored(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -178,5 +184,5 @@ def knn_batch_native(docs: DataFrame, queries: DataFrame, top_k: int = 5, metric
     score = V.cosine(a, b, F.col("_n"), F.col("_m")) if metric == "cosine" else V.l2(a, b)
     best = F.round("score", 12)
     w = Window.partitionBy("query_id").orderBy(best.desc() if metric == "cosine" else best.asc(), "slot")
-    scored = rows.join(F.broadcast(asked), F.size("vector") == F.size("query_vector")).select("query_id", "slot", score.alias("score"))
+    scored = rows.join(F.broadcast(asked), F.size("vector") == F.size("query_vector")).select("query_id", "slot", score.alias("score")).filter(_finite(F.col("score")))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
