@@ -15,7 +15,7 @@ from vsearch.embed import Embedder, HashingEmbedder
 from vsearch.operators import ann, mutate
 from vsearch.operators.knn import check_metric
 from vsearch.plans import search as plans
-from vsearch.runtime import stage
+from vsearch.runtime import ship, stage
 from vsearch.store import Store
 from vsearch.types import DOCS, LOG, RequestError, StoreError, VectorError
 
@@ -54,6 +54,7 @@ class Collection:
         if index_type not in INDEX_TYPES:
             raise VectorError(f"index_type must be one of {INDEX_TYPES}")
         self.spark = spark or SparkSession.builder.getOrCreate()
+        ship(self.spark)
         self.embedder = embedder or HashingEmbedder(dimension or 384)
         self.metric, self.index_type, self.cells = metric, index_type, cells
         self.store = Store(self.spark, path) if path else None

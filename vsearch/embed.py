@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vsearch.runtime import ship
 from vsearch.types import EmbedError
 
 _TERM = re.compile(r"\w+")
@@ -117,5 +118,6 @@ def embedding(text: Column, embedder: Embedder) -> Column:
 
 def embed_documents(docs: DataFrame, embedder: Embedder, text: str = "text", vector: str = "vector") -> DataFrame:
     """``docs`` with ``vector`` filled in where it is missing."""
+    ship(docs.sparkSession)
     made = embedding(F.col(text), embedder)
     return docs.withColumn(vector, F.coalesce(F.col(vector), made) if vector in docs.columns else made)

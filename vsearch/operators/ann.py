@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from vsearch.functions.vector import norm
 from vsearch.operators.knn import BLOCK_QUERIES, TopK, check_k, check_metric, knn, scored, unit, vectors_of
-from vsearch.runtime import stage
+from vsearch.runtime import ship, stage
 from vsearch.types import VectorError
 
 #: Centroids are fitted on at most this many vectors, those of least hash; every vector is put into a cell.
@@ -74,6 +74,7 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, metric: st
 def build_cells(docs: DataFrame, cells: int = 16, metric: str = "cosine", version: str | None = None, path: str | None = None) -> CellIndex:
     """Index over (slot, vector, ...). With ``path`` it is written there, partitioned by cell, so that a search reads only its cells' files."""
     check_metric(metric)
+    ship(docs.sparkSession)
     if cells < 1:
         raise VectorError("cells must be at least 1")
     sample = docs.filter(F.size("vector") > 0).orderBy(F.xxhash64("slot"), "slot").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()

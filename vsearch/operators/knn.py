@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vsearch.functions import vector as V
+from vsearch.runtime import ship
 from vsearch.types import RequestError, VectorError
 
 #: Query vectors sent to the executors at once; larger query tables are worked through in blocks of this size.
@@ -148,6 +149,7 @@ def knn_batch(
     blocks = max(1, -(-n // BLOCK_QUERIES))
     cols = [F.col(slot_col).cast("long"), F.col(vector_col)] + ([F.col(group_col).cast("string")] if group_col else []) + ([F.col(flags_col)] if flags_col else [])
     spark = docs.sparkSession
+    ship(spark)
     out = None
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()

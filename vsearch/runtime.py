@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     an expensive step is computed once however often its result is read.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/stage/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,5 +59,21 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, unless it is installed or on their path."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(here)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in known or "site-packages" in root or getattr(context, "_vsearch_shipped", False):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="vsearch-"), "vsearch.zip")
+    with zipfile.PyZipFile(at, "w") as z:  # compiled, subpackages included
+        z.writepy(here)
+    context.addPyFile(at)
+    context._vsearch_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

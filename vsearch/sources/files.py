@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vsearch.runtime import ship
 from vsearch.types import SourceError
 
 #: Suffix to format.
@@ -85,6 +86,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read and decoded by the executors.
     """
+    ship(spark)
     known = "|".join(FORMATS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(F.lower("path").rlike(rf"\.({known})$"))
     return files.mapInPandas(_decode, "path string, text string, error string")

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from vsearch.runtime import ship
 from vsearch.types import DOCS, StoreError
 
 # Fixed values of the format.
@@ -107,6 +108,7 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_sv(spark: SparkSession, path: str) -> DataFrame:
     """A file, or each file matching a pattern, as rows of ``types.DOCS``."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_decoded, DOCS)
 
 
