@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vsearch.llm.entries import TERM, terms
+from vsearch.runtime import ship
 
 #: Terms in a row that count as a leak; of an item with fewer, all.
 RUN = 12
@@ -169,6 +170,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     put into automata of a bounded size.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     known = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("t")).filter(F.col("item").isNotNull() & F.col("t").isNotNull())
     parts = max(1, -(-(known.agg(F.sum(F.length("t"))).first()[0] or 0) // AUTOMATON_CHARS))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vsearch.runtime import broadcast_if_small, stage
+from vsearch.runtime import broadcast_if_small, ship, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed: the public pre-tokenisation pattern that belongs to the vocabulary.
@@ -61,6 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(id, source, n_tokens) of every document with an id, a source and a text that isn't blank. Source names are lower-cased and stripped."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.trim(source_col)).alias("source"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & F.col("source").isNotNull() & F.col("text").rlike(r"\S")
     )

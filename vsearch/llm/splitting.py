@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vsearch.runtime import broadcast_if_small
+from vsearch.runtime import broadcast_if_small, ship
 
 #: Fixed: the characters next to which a text may be cut.
 BREAKS = " \t\n\u00a0\u3000。！？"
@@ -143,6 +143,7 @@ def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", s
     than the size, without a break. Other columns of ``df``, whatever their
     names, are not looked at. ``piece`` is null unless ``with_text``.
     """
+    ship(df.sparkSession)
     rows = df.select(
         F.col(id_col).cast("long"), F.col(text_col), F.col(size_col).cast("int"), F.coalesce(F.col(overlap_col).cast("int"), F.lit(0))
     ).filter(F.length(text_col) > F.col(size_col))
