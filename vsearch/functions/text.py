@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,12 +84,3 @@ def chunks(text: Column, size: int | Column = 500, overlap: int | Column = 50, s
     else:
         cut = F.when(separator.isNull() | (separator == ""), _window_chunks(text, size_c, overlap_c)).otherwise(_packed_chunks(text, size_c, overlap_c, separator))
     return F.when(blank(text), F.array().cast("array<string>")).when(F.length(text) <= size_c, F.array(text)).otherwise(cut)
-
-
-def file_stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
-
-
-def suffix_of(path: str) -> str:
-    m = re.search(r"[^/]\.([^./]+)$", path)
-    return m.group(1).lower() if m else ""

@@ -17,9 +17,9 @@ def chunk_documents(
     with those of the chunk put over them. NULL or broken metadata counts as
     empty; blank documents give no rows. Nothing is shuffled.
     """
-    own = F.from_json(F.col(metadata), "map<string,string>") if metadata else F.lit(None).cast("map<string,string>")
-    cut = docs.select(F.col(prefix).alias("source_doc"), (F.col(metadata) if metadata else F.lit(None).cast("string")).alias("_meta"), own.alias("_own"), chunks(F.col(text), size, overlap, separator).alias("_chunks"))
-    rows = cut.select("source_doc", "_meta", "_own", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "text"))
+    base = F.col(metadata) if metadata else F.lit(None).cast("string")
+    cut = docs.select(F.col(prefix).alias("source_doc"), base.alias("_meta"), chunks(F.col(text), size, overlap, separator).alias("_chunks"))
+    rows = cut.select("source_doc", "_meta", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "text"))
     mine = F.to_json(F.struct("chunk_index", "total_chunks", "source_doc"))
     return rows.select(
         F.concat("source_doc", F.lit("_chunk_"), "chunk_index").alias("doc_id"), "text", merge_json(F.col("_meta"), mine).alias("metadata"), "chunk_index", "total_chunks", "source_doc"

@@ -25,7 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"vsearch-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 

@@ -90,9 +90,3 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     known = "|".join(FORMATS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(F.lower("path").rlike(rf"\.({known})$"))
     return files.mapInPandas(_decode, "path string, text string, error string")
-
-
-def relative_stem(path: str, root: str) -> str:
-    """Id prefix of a file: its path below ``root`` without the suffix, so that equal names in different folders don't collide."""
-    rel = os.path.relpath(path, root) if os.path.isdir(root) else os.path.basename(path)
-    return os.path.splitext(rel)[0].replace(os.sep, "/")
