@@ -8,7 +8,6 @@ others is part of the template; what stands between its tokens are the slots.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
