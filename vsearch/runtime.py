@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it is counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
+#: Folders of this process, in local mode only; deleted at its end.
+_own: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), f"vsearch-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), f"vsearch-{os.getpid()}")
+        if own not in _own:
+            _own.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
     return at.rstrip("/")
 
 
