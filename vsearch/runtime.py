@@ -74,7 +74,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if root in known or "site-packages" in root or getattr(context, "_vsearch_shipped", False):
         return
-    at = os.path.join(tempfile.mkdtemp(prefix="vsearch-"), "vsearch.zip")
+    folder = tempfile.mkdtemp(prefix="vsearch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "vsearch.zip")
     with zipfile.PyZipFile(at, "w") as z:  # compiled, subpackages included
         z.writepy(here)
     context.addPyFile(at)
