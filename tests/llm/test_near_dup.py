@@ -92,6 +92,19 @@ def test_a_hot_class_is_not_spelt_out(spark):
     assert {r["group_id"] for r in N.groups(links, classes).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [N.BLOCK_TEXTS, 4])
+def test_different_texts_of_one_class_are_spelt_out(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_TEXTS", block)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:i], words[i].upper(), *words[i + 1 :]])) for i in range(30)]  # one shingle set, 30 texts
+    near = [(100, " ".join([*words, "more"])), (101, " ".join([*words, "more!"])), (102, " ".join([*words, "else"]))]
+    copies = [(i, rows[7][1]) for i in range(200, 225)]  # of text 7, more than EXPAND with it
+    links, classes = N.near_duplicates(frame(spark, rows + near + copies))
+    got = [(r["a"], r["b"]) for r in N.expanded(links, classes).collect()]
+    ids = [i for i, _ in rows + near]
+    assert sorted(got) == sorted([(a, b) for a in ids for b in ids if a < b] + [(7, i) for i, _ in copies])
+
+
 def test_empty(spark):
     links, classes = N.near_duplicates(spark.createDataFrame([], "seq long, text string"))
     assert links.count() == 0 and N.expanded(links, classes).count() == 0 and N.groups(links, classes).count() == 0

@@ -32,7 +32,7 @@ WIDTH = 5
 MOST_BITS = 48
 #: A variant that more texts share is joined in blocks of about so many, each a task's share.
 BLOCK_TEXTS = 2_000
-#: Classes of equal shingle sets with more members than this are linked through their first member only.
+#: Exact copies of one text, if more than this, are linked through their first one only.
 EXPAND = 20
 
 _U = np.uint64
@@ -91,20 +91,21 @@ def _bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(shingles)).view(np.int64)
 
 
-_SKETCH = "id long, set_hash binary, n int, s0 long, s1 long, keys array<long>"
+_SKETCH = "id long, text_hash binary, set_hash binary, n int, s0 long, s1 long, keys array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        rows: list[list] = [[] for _ in range(6)]
-        for i, sh in zip(batch.column(0).to_pylist(), shingle_hashes(batch.column(1).to_pylist(), hashes, width, least)):
+        rows: list[list] = [[] for _ in range(7)]
+        texts = batch.column(1).to_pylist()
+        for i, text, sh in zip(batch.column(0).to_pylist(), texts, shingle_hashes(texts, hashes, width, least)):
             if sh is not None:
                 s0, s1 = _bits(sh)
-                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(sh.tobytes()), len(sh), s0, s1, variants(sh).view(np.int64))):
+                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(text), xxhash.xxh3_128_digest(sh.tobytes()), len(sh), s0, s1, variants(sh).view(np.int64))):
                     c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "set_hash", "n", "s0", "s1", "keys"])
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "text_hash", "set_hash", "n", "s0", "s1", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -146,9 +147,10 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and the class of every text.
 
-    Returns (links, classes). ``classes`` has (id, rep) for every id whose text
-    has at least ``least_terms`` terms; ids with equal shingle sets share their
-    least id as rep. ``links`` has (a, b, similarity), a < b, for pairs of reps
+    Returns (links, classes). ``classes`` has (id, rep, text_hash) for every id
+    whose text has at least ``least_terms`` terms; ids with equal shingle sets
+    share their least id as rep, whether or not their texts are the same, and
+    exact copies share their text_hash. ``links`` has (a, b, similarity), a < b, for pairs of reps
     whose sets have intersection over union of at least ``similarity``.
 
     Null ids or texts, empty and short texts take no part. A text repeated
@@ -161,7 +163,8 @@ def near_duplicates(
     )
     sketches = stage(rows.mapInArrow(lambda it: _sketch(it, width, least_terms), _SKETCH), "sketches")
     reps = stage(sketches.groupBy("set_hash").agg(F.min(F.struct("id", "n", "s0", "s1", "keys")).alias("r")).select("set_hash", "r.*"), "reps")
-    classes = sketches.select("id", "set_hash").distinct().join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep")
+    members = sketches.groupBy("id", "set_hash").agg(F.min("text_hash").alias("text_hash"))
+    classes = members.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep", "text_hash")
 
     balls = reps.select("id", "n", "s0", "s1", F.explode("keys").alias("key"))
     counts = balls.groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > BLOCK_TEXTS)
@@ -190,22 +193,41 @@ def near_duplicates(
 
 
 def expanded(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ids: links carried over to the members of both classes, and pairs of equal texts.
+    """Pairs (a, b), a < b, of ids: links carried over to the members of both classes, and pairs of members of one class.
 
-    A class of more than EXPAND members is carried by its rep alone, to which
-    each other member is paired: the pairs among its copies aren't spelt out.
+    All pairs of different texts are spelt out, and those of exact copies up to
+    EXPAND of a text. A text of more copies is carried by its first one alone,
+    to which each other copy is paired: the pairs among them aren't spelt out.
+    Members of a class that has very many of them are taken in blocks, so that
+    no task has all their pairs.
     """
     links, classes = stage(links.select("a", "b"), "links"), stage(classes, "classes")
     sizes = classes.groupBy("rep").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = stage(classes.join(sizes, "rep"), "copies")
-    small = shared.filter(F.col("size") <= EXPAND).select("id", "rep")
-    star = shared.filter((F.col("size") > EXPAND) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    within = small.select(F.col("id").alias("a"), "rep").join(small.select(F.col("id").alias("b"), "rep"), "rep").filter("a < b").select("a", "b")
-    # a rep without copies stands for itself
-    x = small.select(F.col("rep").alias("a"), F.col("id").alias("a2"))
-    y = small.select(F.col("rep").alias("b"), F.col("id").alias("b2"))
-    across = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("a2", "a").alias("p"), F.coalesce("b2", "b").alias("q"))
-    return across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).unionByName(within).unionByName(star)
+    shared = stage(classes.join(sizes.select("rep"), "rep"), "shared")
+    copies = shared.groupBy("rep", "text_hash").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter(F.col("copies") > EXPAND)
+    copies = stage(copies.select("rep", "text_hash", "first"), "copies")
+    if copies.isEmpty():
+        carried, star = shared.select("id", "rep"), None
+    else:
+        marked = shared.join(broadcast_if_small(copies), ["rep", "text_hash"], "left")
+        star = marked.filter(F.col("first") < F.col("id")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+        carried = marked.filter(F.col("first").isNull() | (F.col("first") == F.col("id"))).select("id", "rep")
+    blocks = carried.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    carried = stage(carried.join(blocks, "rep").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "carried")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+
+    left, right = carried.alias("a"), carried.select("id", "rep", every).alias("b")
+    same = (F.col("a.rep") == F.col("b.rep")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))
+    found = left.join(right.hint("merge"), same).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+    # a rep that is alone in its class stands for itself
+    blocks, members = carried.select("rep", "blocks").distinct(), carried.select("rep", "block", "id")
+    across = links
+    for end, other in (("a", "b"), ("b", "a")):
+        spread = across.join(blocks.withColumnRenamed("rep", end), end, "left").select(end, other, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+        across = spread.join(members.withColumnsRenamed({"rep": end, "id": "member"}), [end, "block"], "left").select(F.coalesce("member", end).alias(end), other)
+    found = found.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found if star is None else found.unionByName(star)
 
 
 def groups(links: DataFrame, classes: DataFrame) -> DataFrame:
