@@ -71,6 +71,17 @@ def test_variants_meet_in_the_middle():
         assert len(np.intersect1d(N.variants(tiny), N.variants(np.array(other, np.uint64))))
 
 
+@pytest.mark.parametrize("size,least", [(5, 300), (8, 300), (10, 300), (15, 300), (20, 294), (30, 294), (150, 296)])
+def test_a_set_meets_one_that_contains_it(size, least):
+    rng = np.random.default_rng(size)
+    met = 0
+    for _ in range(300):
+        whole = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        part = np.sort(rng.permutation(whole)[: -(-size * 6 // 10)])  # similarity 0.6 or little more
+        met += bool(len(np.intersect1d(N.variants(whole), N.variants(part))))
+    assert met >= least
+
+
 def test_copies_nulls_and_short_texts(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(i, long) for i in range(10, 15)] + [(10, long), (20, long + " tail"), (1, None), (2, ""), (3, "a b c"), (4, "x " * 19), (None, long), (30, "y " * 25), (31, "y " * 500)]

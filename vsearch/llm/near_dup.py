@@ -6,10 +6,15 @@ hashes to take away from both until they agree; its ball of half the radius is
 every way to take away one. Two texts within the radius (one hash taken from
 each) thus emit a common variant, so a shuffle on variants brings them
 together, and each colliding pair is verified on its full shingle sets.
+
+Sets of at most SMALL_SET shingles, which are too small for that, also emit so
+many of their least shingles that any two of them within the similarity share
+one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,14 @@ from vsearch.runtime import broadcast_if_small, stage
 SHINGLE = 3
 LEAST_TERMS = 20
 SIMILARITY = 0.6
-#: At similarity 0.6, one table lets a pair through with probability about 0.53, seven with 0.995; at 0.65, with 0.999.
-TABLES = 7
+#: At similarity 0.6, one table lets a pair of sets of one size through with probability 0.44, fifteen with 0.9998. If one set
+#: contains the other it is 0.34 and 0.998, with 16 to 30 shingles down to 0.31 and 0.996 (simulated).
+TABLES = 15
 WIDTH = 5
+#: Two sets of at most so many shingles meet for certain.
+SMALL_SET = 15
 #: Most differing bits of two 128-bit similarity hashes; pairs at 0.6 differ in 29 on average with a deviation of 4.8, unrelated ones in 63.
+#: Pairs beyond it aren't verified: at 0.6 about 3 in 100,000 of the true ones, by the normal distribution.
 MOST_BITS = 48
 #: A variant that more texts share is joined in blocks of about so many, each a task's share.
 BLOCK_TEXTS = 2_000
@@ -36,6 +45,7 @@ BLOCK_TEXTS = 2_000
 EXPAND = 20
 
 _U = np.uint64
+_LEAST = _U(0xC2B2AE3D27D4EB4F)
 _SEEDS = (np.arange(1, TABLES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -71,17 +81,20 @@ def shingle_hashes(texts: list[str], hashes: dict, width: int = SHINGLE, least:
         at += size
 
 
-def variants(shingles: np.ndarray) -> np.ndarray:
-    """Keys of all fingerprint variants of a shingle set, at most TABLES * (WIDTH + 1)."""
-    m = min(WIDTH, len(shingles))
+def variants(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of all fingerprint variants of a shingle set, at most TABLES * (WIDTH + 1), and of the least shingles of a small one."""
+    n = len(shingles)
+    m = min(WIDTH, n)
     low = _mix(shingles[None, :] ^ _SEEDS)
-    if len(shingles) > m:
+    if n > m:
         low = np.partition(low, m - 1, axis=1)[:, :m]
     total = low.sum(axis=1, keepdims=True, dtype=_U)
     keys = [_mix(total - low + _SEEDS)] if m > 1 else []
     if m < WIDTH:  # the whole set may equal a larger fingerprint's variant
         keys.append(_mix(total + _SEEDS))
-    return np.unique(np.concatenate(keys, axis=1))
+    if n <= SMALL_SET:  # at least similarity * n are shared, so the least shared one is among these
+        keys.append(_mix(np.sort(shingles)[None, : n - math.ceil(similarity * n - 1e-9) + 1] ^ _LEAST))
+    return np.unique(np.concatenate([k.ravel() for k in keys]))
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
@@ -94,7 +107,7 @@ def _bits(shingles: np.ndarray) -> np.ndarray:
 _SKETCH = "id long, text_hash binary, set_hash binary, n int, s0 long, s1 long, keys array<long>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
         rows: list[list] = [[] for _ in range(7)]
@@ -102,7 +115,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterat
         for i, text, sh in zip(batch.column(0).to_pylist(), texts, shingle_hashes(texts, hashes, width, least)):
             if sh is not None:
                 s0, s1 = _bits(sh)
-                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(text), xxhash.xxh3_128_digest(sh.tobytes()), len(sh), s0, s1, variants(sh).view(np.int64))):
+                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(text), xxhash.xxh3_128_digest(sh.tobytes()), len(sh), s0, s1, variants(sh, similarity).view(np.int64))):
                     c.append(v)
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "text_hash", "set_hash", "n", "s0", "s1", "keys"])
@@ -161,7 +174,7 @@ def near_duplicates(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") >= 2 * least_terms - 1)
     )
-    sketches = stage(rows.mapInArrow(lambda it: _sketch(it, width, least_terms), _SKETCH), "sketches")
+    sketches = stage(rows.mapInArrow(lambda it: _sketch(it, width, least_terms, similarity), _SKETCH), "sketches")
     reps = stage(sketches.groupBy("set_hash").agg(F.min(F.struct("id", "n", "s0", "s1", "keys")).alias("r")).select("set_hash", "r.*"), "reps")
     members = sketches.groupBy("id", "set_hash").agg(F.min("text_hash").alias("text_hash"))
     classes = members.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep", "text_hash")
