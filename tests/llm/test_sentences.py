@@ -38,6 +38,19 @@ def test_without_training_data(text, want):
     assert [text[a:b] for a, b in got] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("See http://x.org/a?b=c for it. Done.", ["See http://x.org/a?b=c for it.", "Done."]),
+        ("See https://x.org/find?Query=1&r!T for it.", ["See https://x.org/find?Query=1&r!T for it."]),
+        ("Yahoo!'s index and the a!b rule, k?2 too.", ["Yahoo!'s index and the a!b rule, k?2 too."]),
+        ("Is it full?Yes!Then go. 满了吗?是的!", ["Is it full?", "Yes!", "Then go.", "满了吗?", "是的!"]),
+    ],
+)
+def test_marks_inside_tokens(text, want):
+    assert [text[a:b] for a, b in S.ends(text, S.fit([]))] == want
+
+
 def test_trained_on_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = S.train(docs)

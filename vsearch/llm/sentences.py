@@ -1,8 +1,11 @@
 """Problem 8: sentence boundaries in any language and script.
 
-Runs of end marks are candidates. Those in the middle of a number, name or
-open quotation are out; the others are classified by a maximum-entropy model
-on neighbouring tokens, case, length, digits and script. It is trained without
+Runs of end marks are candidates. Rules decide the clear ones: those in the
+middle of a number, name, address or open quotation are out, as is an ellipsis
+before a lower-case word; other runs that end in "!", "?" or a CJK, Arabic or
+Indic end mark, without a closing quote or bracket, are boundaries. The rest,
+full stops above all, are classified by a maximum-entropy model on neighbouring
+tokens, case, length, digits and script. It is trained without
 hand-made labels: candidates at the end of a paragraph are certain boundaries,
 the rest are unlabelled. As a share c of the boundaries ends a paragraph, the
 model's probability of "ends a paragraph" is c times that of "is a boundary"
@@ -49,6 +52,7 @@ _CANDIDATE = re.compile(
 )
 _BEFORE = re.compile(r"[^\s\"“”„«»「」『』()\[\]（）【】¿¡]*\Z")
 _AFTER = re.compile(r"\s*([\"“„«「『(\[（【¿¡']*)\s*(\w+|\S|\Z)")
+_ADDRESS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[!-~]*\Z")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 
 
@@ -164,6 +168,10 @@ def candidates(p: str, following: str) -> list[Candidate]:
             plain = len(before) > 2 and before.isalpha() and before[1:].islower() or not before and p[a - 1 : a] in ("»", ")", "]", "”")
             if not (plain and (kind == "upper" or quote)):
                 sure = False
+        elif mark in "!?" and not spaced and not closers and before and (not quote or rest[0] == "'") and not _WIDE.match(rest):
+            # inside a name or address; the space may be missing before a capital
+            if kind in ("lower", "digit") or _ADDRESS.search(p[max(p.rfind(c, 0, a) for c in " \n\t") + 1 : a]):
+                sure = False
         features: tuple[str, ...] = ()
         if sure is not False:
             low = before.lower()
