@@ -86,6 +86,14 @@ def test_clean(text, want):
     assert M.clean(text)[1].replace("\n\n1.", "\n1.").replace(" \n", "\n") == want.replace("\n\n1.", "\n1.").replace(" \n", "\n")
 
 
+def test_a_long_formula_is_one():
+    formula = "$" + "a_1 + b*c*d + \\emph{x} " * 40 + "z$"
+    assert len(formula) > 900
+    assert M.clean(f"See {formula} here.") == (["latex"], f"See {formula} here.")
+    price = "costs $5 " + "word " * 200 + "and 6$"
+    assert M.clean(price) == ([], price)
+
+
 def test_long_and_odd_texts():
     for text in ("<" * 20_000, "`" * 5_000, "$" * 5_001, "[[" * 5_000, "**" * 5_000, "\\begin{" * 3_000, "{|" * 3_000, "_a" * 5_000, "\ue0005\ue001 <b>x</b>", "&" * 9_999):
         M.clean(text)

@@ -45,7 +45,7 @@ _OPAQUE = re.compile(
     rf"|(?P<verb>\\begin\{{(?P<vname>{VERBATIM})\}}(?P<vbody>.*?)\\end\{{(?P=vname)\}})"
     rf"|(?P<env>\\begin\{{(?P<ename>(?:{MATH})\*?)\}}(?P<ebody>.*?)\\end\{{(?P=ename)\}})"
     r"|(?P<display>\$\$(?P<dbody>[^$]+?)\$\$|\\\[(?P<bbody>.*?)\\\])"
-    r"|(?P<inline>(?<![\\$\w])\$(?P<ibody>[^\s$](?:[^$\n]{0,300}?[^\s$\\])?)\$(?![\d$])|\\\((?P<pbody>.*?)\\\))"
+    r"|(?P<inline>(?<![\\$\w])\$(?P<ibody>[^\s$](?:[^$\n]*?[^\s$\\])?)\$(?![\d$])|\\\((?P<pbody>.*?)\\\))"
     r"|(?P<tick>(?<!`)(?P<n>`+)(?!`)(?P<tbody>[^`\n]+(?:\n(?!\s*\n)[^`\n]+)*)(?P=n)(?!`))",
     re.S | re.I,
 )
