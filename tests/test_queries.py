@@ -1,7 +1,10 @@
 import pytest
 from oracle import check
+from pyspark.sql import functions as F
 
 from vsearch import queries as core
+from vsearch.store import Store
+from vsearch.types import StoreError
 
 SQL = core.oracle_sql()
 
@@ -25,3 +28,18 @@ def test_flagship(spark, sf_dir):
 
     assert core.hybrid_batch(spark, sf_dir).count() > 0
     assert set(core.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("damage", [("metadata", "'{}'"), ("vector", "reverse(vector)"), ("text", "CAST(NULL AS STRING)")])
+def test_roundtrip_goes_through_the_store_and_compares_all_values(spark, sf_dir, monkeypatch, damage):
+    load = Store.load
+    monkeypatch.setattr(Store, "load", lambda self: load(self).withColumn(damage[0], F.expr(damage[1])))
+    with pytest.raises(StoreError):
+        core.snapshot_roundtrip(spark, sf_dir).count()
+
+
+def test_roundtrip_misses_no_row(spark, sf_dir, monkeypatch):
+    load = Store.load
+    monkeypatch.setattr(Store, "load", lambda self: load(self).filter("slot > 0"))
+    with pytest.raises(StoreError):
+        core.snapshot_roundtrip(spark, sf_dir).count()

@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ from vsearch.functions.filters import compile_filters, parsed
 from vsearch.functions.text import chunks, tokenize
 from vsearch.operators import ann, chunking, fusion, knn, lexical, mutate
 from vsearch.plans import search as plans
-from vsearch.runtime import shared_dir, stage, table
+from vsearch.runtime import shared_dir, table
 from vsearch.sources.log import parse_lines
+from vsearch.store import Store
 from vsearch.streaming.ingest import op_counts
+from vsearch.types import DOCS, StoreError
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY_ID = 28
@@ -482,7 +485,16 @@ def embed_hash_udf(spark, d):
 
 
 def snapshot_roundtrip(spark, d):
-    rows = stage(docs(spark, d), "roundtrip")
+    """The collection through a store of its own: created, committed, loaded. All its values are compared, those that aren't returned too."""
+    store = Store(spark, f"{shared_dir(spark).removeprefix('file://')}/stage/roundtrip-{uuid.uuid4().hex}")
+    store.create()
+    store.commit(docs(spark, d))
+    rows = store.load()
+    written, read = docs(spark, d).select(*DOCS.names).alias("w"), rows.alias("r")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) for c in DOCS.names]
+    wrong = written.join(read, F.col("w.slot") == F.col("r.slot"), "full").filter(~reduce(and_, same)).count()
+    if wrong:
+        raise StoreError(f"{wrong} rows aren't as they were written")
     return rows.select("slot", "doc_id", "text", "active", F.size("vector").cast("long").alias("dim"))
 
 
