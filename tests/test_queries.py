@@ -3,8 +3,9 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from vsearch import queries as core
+from vsearch.plans import search as plans
 from vsearch.store import Store
-from vsearch.types import StoreError
+from vsearch.types import RequestError, StoreError
 
 SQL = core.oracle_sql()
 
@@ -43,3 +44,18 @@ def test_roundtrip_misses_no_row(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Store, "load", lambda self: load(self).filter("slot > 0"))
     with pytest.raises(StoreError):
         core.snapshot_roundtrip(spark, sf_dir).count()
+
+
+def test_filters_are_worked_through_in_blocks(spark, sf_dir, monkeypatch):
+    whole = sorted(map(tuple, core.hybrid_batch(spark, sf_dir).collect()))
+    seen = []
+    run = plans.hybrid_batch
+    monkeypatch.setattr(plans, "hybrid_batch", lambda docs, asked, filters: seen.append(len(filters)) or run(docs, asked, filters))
+    monkeypatch.setattr(core, "FILTER_BLOCK", 3)
+    assert sorted(map(tuple, core.hybrid_batch(spark, sf_dir).collect())) == whole
+    assert seen == [0, 3, 1]
+
+
+def test_a_query_whose_filter_is_lacking_is_an_error(spark, sf_dir):
+    with pytest.raises(RequestError):
+        plans.hybrid_batch(core.docs(spark, sf_dir), core.search_queries(spark, sf_dir), {}).count()

@@ -79,9 +79,9 @@ def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapp
 
     ``docs`` has ``coll_name`` too: a query searches the active documents of
     its collection, with that collection's keyword statistics. ``filters`` maps
-    each filter_json that occurs to its parsed form. Queries with a blank text
-    or an alpha outside 0..1 aren't answered. Returns (query_id, rank, doc_id,
-    score).
+    each filter_json that occurs to its parsed form; one that it lacks is an
+    error. Queries with a blank text or an alpha outside 0..1 aren't answered.
+    Returns (query_id, rank, doc_id, score).
 
     Each document is tested against every filter once, as an array of flags,
     so the documents are scanned once for the dense search and once for the
@@ -90,7 +90,10 @@ def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapp
     check_metric(metric)
     place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in filters]), F.col("filter_json")) if filters else F.lit(0), F.lit(0)).cast("int")
     asked = queries.filter(~blank(F.col("query_text")) & F.col("alpha").between(0, 1) & (F.col("top_k") >= 1))
-    asked = asked.filter(F.col("filter_json").isNull() | F.col("filter_json").isin(list(filters))).withColumns({"depth": candidate_depth(F.col("top_k")), "flag": place})
+    lacking = asked.filter(F.col("filter_json").isNotNull() & ~F.col("filter_json").isin(list(filters))).select("query_id").first()
+    if lacking:
+        raise RequestError(f"the filter of query {lacking[0]} isn't among those given")
+    asked = asked.withColumns({"depth": candidate_depth(F.col("top_k")), "flag": place})
     meta = parsed(F.col("metadata"))
     live = docs.filter("active").withColumn("flags", F.array(F.lit(True), *[compile_filters(f, meta) for f in filters.values()]))
     dense = knn_batch(live, asked, metric=metric, query_k="depth", group_col="coll_name", query_group="coll_name", flags_col="flags", query_flag="flag").select("query_id", "slot", "rank")

@@ -31,6 +31,8 @@ from vsearch.types import DOCS, StoreError
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY_ID = 28
 TOP_K = 10
+#: Each document is tested against so many filters in one pass; more take further passes.
+FILTER_BLOCK = 1_000
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -281,8 +283,13 @@ def hybrid_candidates(spark, d):
 def hybrid_batch(spark, d):
     """The flagship: all search queries, each in its collection with its filter, weight and depth."""
     asked = search_queries(spark, d)
-    texts = [r[0] for r in asked.select("filter_json").filter("filter_json IS NOT NULL").distinct().limit(1000).collect()]
-    found = plans.hybrid_batch(docs(spark, d), asked, {t: json.loads(t) for t in texts})
+    texts = sorted(r[0] for r in asked.select("filter_json").filter("filter_json IS NOT NULL").distinct().collect())
+    parts = [plans.hybrid_batch(docs(spark, d), asked.filter("filter_json IS NULL"), {})] if len(texts) > FILTER_BLOCK else []
+    for at in range(0, max(len(texts), 1), FILTER_BLOCK):
+        block = texts[at : at + FILTER_BLOCK]
+        own = asked.filter(F.col("filter_json").isin(block)) if parts else asked
+        parts.append(plans.hybrid_batch(docs(spark, d), own, {t: json.loads(t) for t in block}))
+    found = reduce(DataFrame.unionByName, parts)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
