@@ -9,11 +9,13 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it is counted and holds no more rows than this.
+#: A side is broadcast only if it is measured and holds no more rows and bytes than these.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: Folders of this process, in local mode only; deleted at its end.
 _own: set[str] = set()
 
@@ -56,14 +58,38 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(c: Column, t: T.DataType) -> Column:
+    """Bytes of a value, roughly: contents of strings and arrays, 8 for all that has a fixed size."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(t, T.ArrayType):
+        if isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda s, x: s + _bytes(x, t.elementType)), F.lit(16).cast("long"))
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(t, T.MapType):
+        return _bytes(F.map_keys(c), T.ArrayType(t.keyType)) + _bytes(F.map_values(c), T.ArrayType(t.valueType))
+    if isinstance(t, T.StructType):
+        return row_bytes([(c[f.name], f.dataType) for f in t.fields])
+    return F.lit(8).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows it, else ``df`` for a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+def row_bytes(columns: list[tuple[Column, T.DataType]]) -> Column:
+    total = F.lit(8).cast("long")
+    for c, t in columns:
+        total = total + _bytes(c, t)
+    return total
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of ``most_bytes`` bytes in all; reads no more than that many rows."""
+    size = row_bytes([(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and held <= most_bytes
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows it, else ``df`` for a shuffled join."""
+    return F.broadcast(df) if small(df, rows, most_bytes) else df
 
 
 def ship(spark: SparkSession) -> None:
