@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from vsearch.llm import markup as M
@@ -117,8 +119,57 @@ def test_template_of_a_host(spark):
     assert any("Title number 3" in s for s in got[3]["slots"])
     assert (got[50]["kinds"], got[50]["text"]) == ([], "no markup at all") and got[53]["text"] == "" and got[54]["text"] == "a < b"
     assert (got[51]["kinds"], got[51]["text"], got[51]["template_tokens"]) == (["markdown"], "alone here", 0)
-    kinds = {r["id"]: r["kinds"] for r in T.clean_texts(df, with_text=False).collect()}
-    assert all(kinds[i] == got[i]["kinds"] for i in kinds)
+    kinds = {r["id"]: r["kinds"] for r in T.markup_kinds(df).collect()}
+    assert kinds == {i: r["kinds"] for i, r in got.items() if r["kinds"]}
+
+
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def article(seed):
+    return "\n".join(f"<p>{words(seed * 100 + k, 12)}</p>" for k in range(6))
+
+
+HEAD, FOOT = "<div>Home News About Contact</div>", "<div>Copyright Example Press</div>"
+
+
+@pytest.mark.parametrize("edit", [None, "line", "word"])
+def test_copies_keep_their_text(spark, edit):
+    """40 pages of one host, a few of them the same page under other ids, whole or with small edits."""
+    rows = [(i, f"{HEAD}\n{article(i)}\n{FOOT}", "host") for i in range(36)]
+    copy = article(99)
+    for i in range(100, 104):
+        lines = copy.split("\n")
+        if edit == "line":
+            lines[i - 100] = f"<p>{words(i, 9)}</p>"
+        elif edit == "word":
+            lines = [line.replace("</p>", f" {words(i * 7 + k, 1)}</p>") if k < 3 else line for k, line in enumerate(lines)]
+        rows.append((i, f"{HEAD}\n" + "\n".join(lines) + f"\n{FOOT}", "host"))
+    got = {r["id"]: r for r in T.clean_texts(spark.createDataFrame(rows, "seq long, text string, coll_name string")).collect()}
+    for i, text, _ in rows:
+        want = text.replace(HEAD, "").replace(FOOT, "").replace("<p>", "").replace("</p>", "").split()
+        assert got[i]["text"].split() == want, i
+        assert got[i]["template_tokens"] >= 2
+
+
+def test_a_host_of_copies_only(spark):
+    rows = [(i, f"{HEAD}\n{article(5)}\n{FOOT}", "host") for i in range(50)]
+    for r in T.clean_texts(spark.createDataFrame(rows, "seq long, text string, coll_name string")).collect():
+        assert "Home News" in r["text"] and words(500, 12) in r["text"] and r["template_tokens"] == 0
+
+
+def test_a_page_is_never_all_template(spark):
+    rows = [(i, f"{HEAD}\n{article(i)}\n{FOOT}", "host") for i in range(30)] + [(50, f"{HEAD}\n{FOOT}", "host"), (51, f"{HEAD}\nx\n{FOOT}", "host")]
+    got = {r["id"]: r["text"] for r in T.clean_texts(spark.createDataFrame(rows, "seq long, text string, coll_name string")).collect()}
+    assert "Home" not in got[3] and "Home" in got[50] and "Home" in got[51] and "x" in got[51]
+
+
+def test_private_characters_of_the_text_stay():
+    text = "\ue0000\ue001 \ue000 `code` **b** \U0010ffff"
+    assert M.clean(text) == (["markdown"], "\ue0000\ue001 \ue000 code b \U0010ffff")
+    assert M.clean("&#xE000;7&#xE001; `x`")[0] == ["html", "markdown"]
 
 
 def test_classes_are_ordered_and_nested(spark):

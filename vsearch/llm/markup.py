@@ -138,9 +138,18 @@ def _money(m: re.Match) -> bool:
     return body is not None and body[0].isdigit() and not re.search(r"[\\^_={}+]", body)
 
 
-def lift(text: str) -> tuple[str, list[Piece]]:
-    """The text with each opaque stretch put aside, and these stretches."""
+def lift(text: str) -> tuple[str, list[Piece], dict[int, int]]:
+    """The text with each opaque stretch put aside, these stretches, and what to translate back.
+
+    U+E000 and U+E001 mark where a stretch was. Where the text itself has them, two characters that it lacks stand in for its own.
+    """
     pieces: list[Piece] = []
+    back: dict[int, int] = {}
+    if "\ue000" in text or "\ue001" in text:
+        own = set(text)
+        free = (c for c in range(0x10FFFF, 0xE001, -1) if chr(c) not in own)
+        back = {next(free): 0xE000, next(free): 0xE001}
+        text = text.translate({b: a for a, b in back.items()})
 
     def put(m: re.Match) -> str:
         if m.group("inline") is not None and _money(m):
@@ -148,9 +157,7 @@ def lift(text: str) -> tuple[str, list[Piece]]:
         pieces.append(_opaque(m))
         return f"\ue000{len(pieces) - 1}\ue001"
 
-    if "\ue000" in text or "\ue001" in text:  # private characters that this text uses itself
-        text = text.replace("\ue000", "\ufffd").replace("\ue001", "\ufffd")
-    return _OPAQUE.sub(put, text), pieces
+    return _OPAQUE.sub(put, text), pieces, back
 
 
 def _html_found(m: re.Match) -> bool:
@@ -189,15 +196,49 @@ def _markdown_found(m: re.Match) -> bool:
 _FINDERS = (("html", _HTML, _html_found), ("wiki", _WIKI, lambda m: True), ("latex", _LATEX, _latex_found), ("markdown", _MARKDOWN, _markdown_found))
 
 
-def constructs(text: str) -> tuple[str, list[Piece], list[tuple[int, int, str, str]]]:
-    """The text without opaque stretches, these, and (start, end, kind, token) of every other construct, in order.
+class Page:
+    """A text taken apart: ``rest`` without the opaque stretches ``pieces``, and (start, end, kind, token) of every other construct in it, in order.
 
     A token stands for the construct's template part: a tag with its name, a
     command, a mark.
     """
-    if not _ANY.search(text):
-        return text, [], []
-    rest, pieces = lift(text)
+
+    __slots__ = ("text", "rest", "pieces", "found", "back", "kinds")
+
+    def __init__(self, text: str):
+        self.text, self.rest, self.pieces, self.found, self.back = text, text, [], [], {}
+        if _ANY.search(text):
+            self.rest, self.pieces, self.back = lift(text)
+            self.found = _constructs(self.rest)
+        there = {p.kind for p in self.pieces} | {k for _, _, k, _ in self.found}
+        self.kinds = [k for k in KINDS if k in there]
+
+    def places(self) -> list[tuple[int, Piece]]:
+        return [(m.start(), self.pieces[int(m.group(1))]) for m in _PLACE.finditer(self.rest)]
+
+    def source(self, part: str) -> str:
+        """A part of ``rest`` as it stands in the text."""
+        return _PLACE.sub(lambda m: self.pieces[int(m.group(1))].source, part).translate(self.back)
+
+    def render(self, rest: str) -> str:
+        """``rest``, or what is kept of it, as clean text."""
+        if not self.kinds:
+            return rest
+        marks = {k for _, _, k, _ in self.found}
+        for kind, convert in (("html", _clean_html), ("wiki", _clean_wiki), ("latex", _clean_latex), ("markdown", _clean_markdown)):
+            if kind in marks:
+                rest = convert(rest)
+        for _ in range(3):  # a stretch may lie in another
+            # the conversion may have made such a mark from character references
+            rest = _PLACE.sub(lambda m: self.pieces[int(m.group(1))].clean if int(m.group(1)) < len(self.pieces) else m.group(), rest)
+        rest = re.sub(r"[ \t]+$", "", rest, flags=re.M)
+        return re.sub(r"\n{3,}", "\n\n", rest).strip("\n").translate(self.back)
+
+
+_PLACE = re.compile("\ue000(\\d+)\ue001")
+
+
+def _constructs(rest: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern, real in _FINDERS:
         for m in pattern.finditer(rest):
@@ -215,14 +256,12 @@ def constructs(text: str) -> tuple[str, list[Piece], list[tuple[int, int, str, s
     if any(kind == "wiki" for _, _, kind, _ in found):  # there, "# x" is a numbered item
         found = [x for x in found if x[2:] != ("markdown", "#")]
     found.sort()
-    return rest, pieces, found
+    return found
 
 
 def kinds(text: str) -> list[str]:
     """The kinds of markup in a text, in the order of KINDS."""
-    _, pieces, found = constructs(text)
-    there = {p.kind for p in pieces} | {k for _, _, k, _ in found}
-    return [k for k in KINDS if k in there]
+    return Page(text).kinds
 
 
 # --- conversion -----------------------------------------------------------------------------------------------------
@@ -329,19 +368,5 @@ def _clean_markdown(t: str) -> str:
 
 def clean(text: str) -> tuple[list[str], str]:
     """(kinds, clean text); a text without markup stays as it is."""
-    rest, pieces, found = constructs(text)
-    there = {p.kind for p in pieces} | {k for _, _, k, _ in found}
-    if not there:
-        return [], text
-    if any(k == "html" for _, _, k, _ in found):
-        rest = _clean_html(rest)
-    if any(k == "wiki" for _, _, k, _ in found):
-        rest = _clean_wiki(rest)
-    if any(k == "latex" for _, _, k, _ in found):
-        rest = _clean_latex(rest)
-    if any(k == "markdown" for _, _, k, _ in found):
-        rest = _clean_markdown(rest)
-    for _ in range(3):  # a stretch may lie in another
-        rest = re.sub("\ue000(\\d+)\ue001", lambda m: pieces[int(m.group(1))].clean, rest)
-    rest = re.sub(r"[ \t]+$", "", rest, flags=re.M)
-    return [k for k in KINDS if k in there], re.sub(r"\n{3,}", "\n\n", rest).strip("\n")
+    page = Page(text)
+    return (page.kinds, page.render(page.rest)) if page.kinds else ([], text)

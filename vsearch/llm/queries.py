@@ -57,7 +57,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return template.clean_texts(table(spark, d, "wal_entries"), with_text=False).select(F.col("id").alias("seq"), F.explode("kinds").alias("markup"))
+    return template.markup_kinds(table(spark, d, "wal_entries")).select(F.col("id").alias("seq"), F.explode("kinds").alias("markup"))
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
