@@ -146,7 +146,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduce(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, templates) of texts (id, host, text), ids distinct.
+    """(pages, templates) of texts (id, host, text), ids distinct, which are read once.
 
     ``pages`` has (id, host, tokens) of every text with markup; ``templates``
     has (id, template) of those with tokens of valid classes, as an array of
@@ -259,8 +259,7 @@ def markup_kinds(df: DataFrame, id_col: str = "seq", text_col: str = "text", hos
     others are the page's own. Null ids and texts and texts without markup give
     no rows; a null host is a host of its own.
     """
-    marked = stage(_sources(df, id_col, text_col, host_col).filter(F.col("text").rlike(MARKS)), "marked")
-    pages, found = deduce(marked)
+    pages, found = deduce(_sources(df, id_col, text_col, host_col).filter(F.col("text").rlike(MARKS)))
     rows = pages.select("id", "tokens").join(broadcast_if_small(found), "id", "left")
     common = F.coalesce(F.transform("template", lambda x: x["h"]), F.array().cast("array<long>"))
     shared = F.transform(F.filter("tokens", lambda t: F.array_contains(common, t["h"])), lambda t: t["kind"])
