@@ -41,21 +41,48 @@ def test_documents(spark):
     e = spark.createDataFrame(items, "item_id long, text string")
     found = leaks(d, e)
     got = sorted((r["id"], tuple(r["items"])) for r in found.collect())
-    assert got == [(1, (10, 14)), (2, (10, 14)), (4, (11,)), (7, (10, 14)), (8, (10, 14)), (8, (10, 14)), (9, (10, 14))]
+    assert got == [(1, (10, 14)), (2, (10, 14)), (4, (11,)), (7, (10, 14)), (8, (10, 14)), (9, (10, 14))]
     spans = {r["id"]: [docs[0][1][s["start_pos"] : s["end_pos"]] for s in r["spans"]] for r in found.filter("id = 1").collect()}
     assert spans[1] == [ITEM.upper()]
     cut = {r["id"]: (r["action"], r["text"]) for r in without_spans(d.filter("doc_id IN (1, 2, 4, 7)"), found.filter("id IN (1, 2, 4, 7)"), most_covered=0.87).collect()}
     assert cut == {1: ("drop", None), 2: ("cut", "intro  rest"), 4: ("cut", "a  here"), 7: ("drop", None)}
 
 
-def test_many_automata_agree_with_one(spark, monkeypatch):
+def test_positions_are_exact_where_lower_case_changes_lengths(spark):
+    text = "İİ ΟΔΟΣ İstanbul " + ITEM.replace("river", "RİVER") + " ΣΑΣ İ end " + "other " * 60
+    item = ITEM.replace("river", "rİver")
+    d, e = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = leaks(d, e)
+    (span,) = found.first()["spans"]
+    assert text[span["start_pos"] : span["end_pos"]] == ITEM.replace("river", "RİVER")
+    assert without_spans(d, found).first()["text"] == text.replace(ITEM.replace("river", "RİVER"), "")
+
+
+def rows(found):
+    return sorted((r["id"], r["items"], [tuple(x) for x in r["spans"]], round(r["covered"], 9)) for r in found.collect())
+
+
+@pytest.mark.parametrize("chars,scan", [(40, 1 << 28), (40, 1), (5_000, 1 << 28)])
+def test_many_automata_agree_with_one(spark, monkeypatch, chars, scan):
+    from vsearch.llm import contamination
+
+    docs = spark.createDataFrame([(i, f"item number {i} has exactly these words in it and number {i + 3} has them too") for i in range(30)] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"number {i} has") for i in range(0, 30, 3)] + [(50, "has exactly these words"), (51, "these words in it")], "item_id long, text string")
+    one = rows(leaks(docs, items))
+    assert len(one) == 30 and one[0][1] == [0, 3, 50, 51]
+    monkeypatch.setattr(contamination, "AUTOMATON_CHARS", chars)
+    monkeypatch.setattr(contamination, "SCAN_BYTES", scan)
+    assert rows(leaks(docs, items)) == one
+
+
+def test_many_automata_agree_on_the_tables(spark, sf_dir, monkeypatch):
     from vsearch.llm import contamination
 
-    docs = spark.createDataFrame([(i, f"item number {i} has exactly these words in it") for i in range(30)], "doc_id long, text string")
-    items = spark.createDataFrame([(i, f"number {i} has") for i in range(0, 30, 3)], "item_id long, text string")
-    one = sorted((r["id"], r["items"]) for r in leaks(docs, items).collect())
-    monkeypatch.setattr(contamination, "AUTOMATON_CHARS", 40)
-    assert sorted((r["id"], r["items"]) for r in leaks(docs, items).collect()) == one and len(one) == 10
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "eval_items"))
+    monkeypatch.setattr(contamination, "AUTOMATON_CHARS", 4_000_000)
+    one = rows(leaks(docs, items))
+    monkeypatch.setattr(contamination, "AUTOMATON_CHARS", 5_000)
+    assert rows(leaks(docs, items)) == one and one
 
 
 def test_empty(spark):

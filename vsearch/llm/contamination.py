@@ -2,11 +2,14 @@
 
 The items' terms form a generalised suffix automaton. A document's terms are
 streamed through it; the state and the length reached at each term tell the
-longest stretch of any item that ends there.
+longest stretch of any item that ends there. Many items make several automata,
+built by the executors and run side by side over each document.
 """
 
 from __future__ import annotations
 
+import pickle
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vsearch.llm.entries import TERM, terms
-from vsearch.runtime import ship
+from vsearch.runtime import ship, stage
 
 #: Terms in a row that count as a leak; of an item with fewer, all.
 RUN = 12
-#: Characters of items put into one automaton. More items are split over several, each broadcast by itself.
-AUTOMATON_CHARS = 4_000_000
+#: Characters of items put into one automaton, about; an item is never split.
+AUTOMATON_CHARS = 1_000_000
+#: Bytes of automata broadcast at once; the documents are read once for so many. The result is the same for any number.
+SCAN_BYTES = 128 << 20
 
 
 class SuffixAutomaton:
@@ -60,6 +65,15 @@ class SuffixAutomaton:
         self.short: list[tuple[tuple[int, int], ...]] = [()] * n
         for s in order:
             self.short[s] = tuple(whole[s]) + self.short[self.link[s]]
+        # compact: most states have one way on, `one` its term (-2: several, in `many`) and `to` its end
+        self.one, self.to, self.many = array("i", [-1]) * n, array("i", [-1]) * n, {}
+        for s, ways in enumerate(self.next):
+            if len(ways) == 1:
+                ((self.one[s], self.to[s]),) = ways.items()
+            elif ways:
+                self.one[s], self.many[s] = -2, ways
+        self.gram, self.link, self.length = array("i", self.gram), array("i", self.link), array("i", self.length)
+        del self.next
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -94,18 +108,21 @@ class SuffixAutomaton:
         """Items leaked into a sequence of terms, and the leaking stretches as (first term, end term), merged."""
         found: set[int] = set()
         spans: list[tuple[int, int]] = []
-        codes, nxt, link, length = self.codes, self.next, self.link, self.length
+        codes, one, to, many, link, length = self.codes, self.one, self.to, self.many, self.link, self.length
         s = reached = 0
         for at, t in enumerate(toks):
             c = codes.get(t)
             if c is None:
                 s = reached = 0
                 continue
-            while s and c not in nxt[s]:
+            while True:
+                o = one[s]
+                s2 = to[s] if o == c else many[s].get(c, -1) if o == -2 else -1
+                if s2 >= 0 or not s:
+                    break
                 s = link[s]
                 reached = length[s]
-            s2 = nxt[s].get(c)
-            if s2 is None:
+            if s2 < 0:
                 reached = 0
                 continue
             s = s2
@@ -131,33 +148,73 @@ def _places(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if len(low) == len(text):
         return [m.span() for m in TERM.finditer(low)]
+    # how many characters a lower case has doesn't depend on its neighbours
     origin = [k for k, ch in enumerate(text) for _ in ch.lower()]
-    low = "".join(ch.lower() for ch in text)
     return [(origin[m.start()], origin[m.end() - 1] + 1) for m in TERM.finditer(low)]
 
 
-_FOUND = pa.schema(
-    [("id", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64())]))), ("covered", pa.float64())]
-)
+def united(spans: list[tuple]) -> list[tuple]:
+    """Spans (from, up to, ...), those that overlap or touch as one; further pairs of values are united alike."""
+    out: list[tuple] = []
+    for s in sorted(spans):
+        if out and s[0] <= out[-1][1]:
+            out[-1] = tuple(min(x, y) if i % 2 == 0 else max(x, y) for i, (x, y) in enumerate(zip(out[-1], s)))
+        else:
+            out.append(s)
+    return out
+
+
+_SPAN = ("first", "end", "start_pos", "end_pos")
+_SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in _SPAN]))
+_HITS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _SPANS), ("n_terms", pa.int64())])
+_SPAN_SQL = "struct<first:long,end:long,start_pos:long,end_pos:long>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
-    a = automaton.value
+def _scan(batches: Iterator[pa.RecordBatch], automata) -> Iterator[pa.RecordBatch]:
+    machines = [pickle.loads(a) for a in automata.value]
     for batch in batches:
         rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
             toks = terms(text)
-            items, spans = a.scan(toks)
+            items, spans = set(), []
+            for m in machines:
+                found, where = m.scan(toks)
+                items |= found
+                spans += where
             if items:
                 at = _places(text)
-                if len(at) == len(toks):
-                    chars = [{"start_pos": at[s][0], "end_pos": at[e - 1][1]} for s, e in spans]
-                else:  # a character whose lower case depends on its neighbours
-                    chars = [{"start_pos": 0, "end_pos": len(text)}]
-                rows.append({"id": i, "items": sorted(items), "spans": chars, "covered": sum(e - s for s, e in spans) / len(toks)})
+                where = [dict(zip(_SPAN, (s, e, at[s][0], at[e - 1][1]))) for s, e in united(spans)]
+                rows.append({"id": i, "text_hash": mark, "items": sorted(items), "spans": where, "n_terms": len(toks)})
+        yield pa.RecordBatch.from_pylist(rows, schema=_HITS)
+
+
+_FOUND = pa.schema(
+    [("id", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64())]))), ("covered", pa.float64())]
+)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for i, items, spans, n in zip(*(c.to_pylist() for c in batch.columns)):
+            whole = united([tuple(s[k] for k in _SPAN) for s in spans])
+            rows.append({"id": i, "items": sorted(set(items)), "spans": [{"start_pos": a, "end_pos": b} for _, _, a, b in whole], "covered": sum(e - s for s, e, _, _ in whole) / n})
         yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
 
+def automata(items: DataFrame, run: int = RUN) -> DataFrame:
+    """(part, size, automaton) of items (item, t), built by the executors, one for each AUTOMATON_CHARS of their text."""
+    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    parts = max(1, -(-chars // AUTOMATON_CHARS))
+
+    def build(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["item"].to_pylist(), t["t"].to_pylist()))
+        made = pickle.dumps(SuffixAutomaton([(i, terms(text)) for i, text in rows], run), protocol=5)
+        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int64()), "size": pa.array([len(made)], pa.int64()), "automaton": pa.array([made], pa.binary())})
+
+    return items.withColumn("part", F.pmod(F.xxhash64("item", "t"), F.lit(parts))).groupBy("part").applyInArrow(build, "part long, size long, automaton binary")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
     """(id, items, spans, covered) of every document that an item leaked into.
 
@@ -166,31 +223,43 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     text (from, up to, in characters) shared with items, apart and in order;
     ``covered`` is their share of the document's terms. Null ids and texts and
     texts without terms, of documents or items, take no part; items with equal
-    texts are all reported. Documents are read once and not shuffled; items are
-    put into automata of a bounded size.
+    texts are all reported. A repeated row of a document counts once; an id
+    with different texts has a row for each.
+
+    Documents are read once for each SCAN_BYTES of automata, and only what was
+    found in them is shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("t")).filter(F.col("item").isNotNull() & F.col("t").isNotNull())
-    parts = max(1, -(-(known.agg(F.sum(F.length("t"))).first()[0] or 0) // AUTOMATON_CHARS))
+    made = stage(automata(known, run), "automata")
+    scans: list[list[int]] = [[]]
+    room = SCAN_BYTES
+    for part, size in made.select("part", "size").orderBy("part").collect():  # a row for each automaton
+        if scans[-1] and size > room:
+            scans.append([])
+            room = SCAN_BYTES
+        scans[-1].append(part)
+        room -= size
     found = None
-    for part in range(parts):
-        mine = known.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item").toArrow().to_pydict()
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton([(i, terms(t)) for i, t in zip(mine["item"], mine["t"])], run))
-        one = rows.mapInArrow(lambda it, automaton=automaton: _scan(it, automaton), "id long, items array<long>, spans array<struct<start_pos:long,end_pos:long>>, covered double")
+    for parts in scans:
+        sent = spark.sparkContext.broadcast([r[0] for r in made.filter(F.col("part").isin(parts)).select("automaton").collect()])
+        one = rows.mapInArrow(lambda it, sent=sent: _scan(it, sent), f"id long, text_hash long, items array<long>, spans array<{_SPAN_SQL}>, n_terms long")
         found = one if found is None else found.unionByName(one)
-    return found
+    whole = found.groupBy("id", "text_hash").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.min("n_terms").alias("n_terms"))
+    return whole.select("id", "items", "spans", "n_terms").mapInArrow(_merge, "id long, items array<long>, spans array<struct<start_pos:long,end_pos:long>>, covered double")
 
 
 def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_covered: float = 0.5) -> DataFrame:
     """(id, action, text) of every document in ``found``: its text without the leaked stretches.
 
     A document covered beyond ``most_covered`` is dropped: action ``drop`` and
-    a null text; else the action is ``cut``.
+    a null text; else the action is ``cut``. ``found`` has a row a document, as
+    :func:`leaks` gives for distinct ids.
     """
-    cuts = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.sum("covered").alias("covered"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("whole")).join(cuts, "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("whole")).join(found, "id")
     kept = F.expr(
         """aggregate(spans, named_struct('at', 0L, 'out', ''),
              (s, x) -> named_struct('at', greatest(s.at, x.end_pos),
