@@ -64,10 +64,14 @@ class TopK:
 
     def merge(self, rows: np.ndarray, slots: np.ndarray, scores: np.ndarray) -> None:
         """Offer ``slots`` to the queries ``rows``; those whose score isn't finite are no candidates."""
+        self.offer(rows, np.broadcast_to(slots, scores.shape), scores)
+
+    def offer(self, rows: np.ndarray, slots: np.ndarray, scores: np.ndarray) -> None:
+        """As :meth:`merge`, with slots of its own for each query."""
         scores = np.where(np.isfinite(scores), scores, -np.inf)
         k = self.scores.shape[1]
         s = np.concatenate([self.scores[rows], scores], axis=1)
-        ids = np.concatenate([self.slots[rows], np.broadcast_to(slots, scores.shape)], axis=1)
+        ids = np.concatenate([self.slots[rows], slots], axis=1)
         key = np.round(s, 12)
         if s.shape[1] > 4 * k + 64:  # first drop what is surely below the k-th; its ties stay
             least = np.partition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
