@@ -37,13 +37,13 @@ def p2_term_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, least=0.90)
+    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, least=0.90, recall=0.99)
     return near.select(F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
 
 
 def p3_knn(spark: SparkSession, d: str) -> DataFrame:
     """Every entry whose seq is divisible by 50, against all entries in all shards."""
-    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, probes=None, ask="id % 50 = 0", beam=64)
+    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, recall=1, ask="id % 50 = 0", beam=64)
     return near.select(F.col("id").alias("seq"), "rank", F.col("neighbour").alias("neighbour_seq"), F.round("similarity", 6).alias("similarity"))
 
 
