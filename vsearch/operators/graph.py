@@ -38,18 +38,23 @@ EXACT_SHARE = 0.1
 
 
 class BeamGraph:
-    """Directed graph over the rows of ``x``; node ``n`` is none. The score of a node is q.x less half the square of its length."""
+    """Directed graph over the rows of ``x``; node ``n`` is none. The score of a node is q.x less ``half``, half the square of its length, or q.x where all have length 1."""
 
     def __init__(self, x: np.ndarray, degree: int, half: np.ndarray | None = None):
         self.n, self.degree = len(x), degree
         self.x = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
-        self.half = np.full(self.n + 1, 0.5, np.float32) if half is None else np.append(half, 0).astype(np.float32)
+        self.half = None if half is None else np.append(half, 0).astype(np.float32)
         self.edges = np.full((self.n + 1, degree), self.n, np.int32)
         self.filled = np.zeros(self.n + 1, np.int32)
 
     def scores(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Of a row of nodes for each query."""
-        return np.matmul(self.x[nodes], q[:, :, None])[:, :, 0] - self.half[nodes]
+        near = np.matmul(self.x[nodes], q[:, :, None])[:, :, 0]
+        return near if self.half is None else near - self.half[nodes]
+
+    def closeness(self, nodes: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Minus half the square of the distance, from the scores of others for ``nodes``."""
+        return scores - 1 if self.half is None else scores - self.half[nodes][:, None]
 
     def beam(self, q: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores, best first, of the ``width`` nodes found from ``starts`` (a row of different nodes, or none, for each query)."""
@@ -96,11 +101,12 @@ class BeamGraph:
 
         One is kept if it is nearer to the node than, by ``relax`` times the
         square of the distance, to any kept before; free places are filled with
-        the nearest of the others. ``sims`` holds scores with the node's own
-        half square taken off: minus half the square of the distance.
+        the nearest of the others. ``sims`` is their :meth:`closeness`.
         """
         v = self.x[cand]
-        between = relax * (self.half[cand][:, :, None] + self.half[cand][:, None, :] - np.matmul(v, v.transpose(0, 2, 1)))
+        between = np.matmul(v, v.transpose(0, 2, 1))
+        lengths = 1 if self.half is None else self.half[cand][:, :, None] + self.half[cand][:, None, :]
+        between = relax * (lengths - between)
         alive = cand != self.n
         rest = alive.copy()
         out = np.full((len(cand), self.degree), self.n, np.int32)
@@ -126,8 +132,7 @@ class BeamGraph:
         self.filled[nodes] = (kept != self.n).sum(axis=1)
         to, back = kept.ravel(), np.repeat(nodes, self.degree)
         back, to = back[to != self.n], to[to != self.n]
-        near = np.einsum("ij,ij->i", self.x[to], self.x[back]) - self.half[back]
-        order = np.lexsort((-near, to))  # the nearest first
+        order = np.argsort(to, kind="stable")
         to, back = to[order], back[order]
         at, start, count = np.unique(to, return_index=True, return_counts=True)
         nth = np.arange(len(to)) - np.repeat(start, count)
@@ -136,14 +141,17 @@ class BeamGraph:
         self.edges[to[fits], self.filled[to[fits]] + nth[fits]] = back[fits]
         self.filled[at[~full]] += count[~full].astype(np.int32)
         if full.any():
-            # beyond so many, the nearest ones are the candidates
+            # of very many, the nearest ones are the candidates
+            for s, c in zip(start[full & (count > 2 * self.degree)], count[full & (count > 2 * self.degree)]):
+                some = back[s : s + c]
+                back[s : s + c] = some[np.argsort(-self.scores(self.x[to[s]][None], some[None])[0], kind="stable")]
             ends, count, start = at[full], np.minimum(count[full], 2 * self.degree), start[full]
             more = np.full((len(ends), count.max()), self.n, np.int32)
             col = np.arange(count.max())[None, :]
             inside = col < count[:, None]
             more[inside] = back[(start[:, None] + col)[inside]]
             cand = np.concatenate([self.edges[ends], more], axis=1)
-            sims = self.scores(self.x[ends], cand) - self.half[ends][:, None]
+            sims = self.closeness(ends, self.scores(self.x[ends], cand))
             sims[cand == self.n] = -np.inf
             by = np.argsort(-sims, axis=1)
             self.edges[ends] = self.select(np.take_along_axis(cand, by, 1), np.take_along_axis(sims, by, 1), relax)
@@ -163,14 +171,14 @@ class LayeredGraph(BeamGraph):
         self.above = np.flatnonzero(rng.random(self.n) < 1 / m)
         if not len(self.above):
             self.above = np.array([0])
-        self.upper = LayeredGraph(x[self.above], m, ef_construction, self.half[self.above], seed + 1, False)
+        self.upper = LayeredGraph(x[self.above], m, ef_construction, None if half is None else half[self.above], seed + 1, False)
         rest = np.setdiff1d(np.arange(self.n), self.above)
         order = np.concatenate([self.above, rng.permutation(rest)]).astype(np.int32)
         done = 1
         while done < self.n:
             nodes = order[done : done + min(done, BLOCK)]
             ids, sims = self.beam(self.x[nodes], self._entries(self.x[nodes], done), ef_construction)
-            self.link(nodes, self.select(ids, sims - self.half[nodes][:, None]))
+            self.link(nodes, self.select(ids, self.closeness(nodes, sims)))
             done += len(nodes)
 
     def _entries(self, q: np.ndarray, inserted: int | None = None) -> np.ndarray:
@@ -191,7 +199,7 @@ class LayeredGraph(BeamGraph):
         for a in range(0, len(q), BLOCK):
             part = q[a : a + BLOCK]
             if self.upper is None:
-                near = part @ self.x[: self.n].T - self.half[: self.n]
+                near = part @ self.x[: self.n].T - (0 if self.half is None else self.half[: self.n])
                 best = np.argsort(-near, axis=1, kind="stable")[:, :width]
                 ids[a : a + BLOCK, : best.shape[1]], sims[a : a + BLOCK, : best.shape[1]] = best, np.take_along_axis(near, best, 1)
             else:
