@@ -19,8 +19,12 @@ from vsearch.types import VectorError
 
 #: Centroids are fitted on at most this many vectors, those of least hash; every vector is put into a cell.
 FIT_ROWS = 50_000
-#: Fewer eligible rows than this are searched exactly.
+#: Fewer eligible rows than this are searched exactly, unless told otherwise.
 EXACT_ROWS = 1_000
+#: Tasks that may write a cell, so that a large one isn't one task's work.
+SPREAD = 16
+#: Cells, unless their number is given: the square root of the rows, from and up to these.
+LEAST_CELLS, MOST_CELLS = 16, 4_096
 
 
 @dataclass
@@ -71,37 +75,44 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, metric: st
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
 
 
-def build_cells(docs: DataFrame, cells: int = 16, metric: str = "cosine", version: str | None = None, path: str | None = None) -> CellIndex:
-    """Index over (slot, vector, ...). With ``path`` it is written there, partitioned by cell, so that a search reads only its cells' files."""
+def build_cells(docs: DataFrame, cells: int | None = None, metric: str = "cosine", version: str | None = None, path: str | None = None) -> CellIndex:
+    """Index over (slot, vector, ...). With ``path`` it is written there, partitioned by cell, so that a search reads only its cells' files.
+
+    The dimension is that of most vectors of the sample; those of another
+    length are in cell -1. Without ``cells`` their number follows the rows'.
+    """
     check_metric(metric)
     ship(docs.sparkSession)
-    if cells < 1:
+    if cells is not None and cells < 1:
         raise VectorError("cells must be at least 1")
+    if cells is None:
+        cells = int(min(MOST_CELLS, max(LEAST_CELLS, docs.count() ** 0.5)))
     sample = docs.filter(F.size("vector") > 0).orderBy(F.xxhash64("slot"), "slot").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     if not len(sample):
         raise VectorError("no vectors to index")
-    _, x = vectors_of(sample, len(sample[0]))
+    lengths, counts = np.unique(sample.value_lengths().to_numpy(zero_copy_only=False), return_counts=True)
+    _, x = vectors_of(sample, int(lengths[counts.argmax()]))
     x = x[np.isfinite(x).all(axis=1)]
     centroids = _kmeans(_prepared(x, metric), min(cells, len(x)))
     schema = T.StructType([*docs.schema.fields, T.StructField("cell", T.IntegerType())])
     rows = docs.mapInArrow(lambda it: _assign(it, centroids, metric), schema)
     if path:
-        rows.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+        rows.repartition("cell", F.pmod(F.xxhash64("slot"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("cell").parquet(path)
         rows = docs.sparkSession.read.schema(schema).parquet(path)
     else:
         rows = stage(rows, "cells")
     return CellIndex(rows, centroids, metric, version)
 
 
-def cell_search(index: CellIndex, query: Sequence[float], top_k: int = 5, nprobe: int = 8, mask: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def cell_search(index: CellIndex, query: Sequence[float], top_k: int = 5, nprobe: int = 8, mask: Column | None = None, id_col: str = "doc_id", exact_rows: int = EXACT_ROWS) -> DataFrame:
     """As :func:`vsearch.operators.knn.knn`, over the ``nprobe`` nearest cells.
 
-    ``mask`` is applied before the search. If few rows are eligible, or all
-    cells are asked for, the search is exact.
+    ``mask`` is applied before the search. If at most ``exact_rows`` rows are
+    eligible, or all cells are asked for, the search is exact; 0 turns the first off.
     """
     check_k(top_k)
     eligible = index.rows if mask is None else index.rows.filter(mask)
-    if nprobe < len(index.centroids) and (mask is None or eligible.limit(EXACT_ROWS + 1).count() > EXACT_ROWS):
+    if nprobe < len(index.centroids) and (mask is None or eligible.limit(exact_rows + 1).count() > exact_rows):
         eligible = eligible.filter(F.col("cell").isin(index.probes(query, nprobe)))
     return knn(eligible, query, top_k, index.metric, id_col=id_col)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,20 +109,29 @@ def scored(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarray, metric: str, groups: np.ndarray | None, flags: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Running top k of every query over a partition, then one batch of results."""
+def _blocks(
+    batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: np.ndarray, metric: str, groups: np.ndarray | None, names: pa.Array | None, flags: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    """Running top k of every query over a partition, then one batch of results. ``groups`` are places in ``names``."""
     best, everyone = TopK(len(queries), int(k.max())), np.arange(len(queries))
     for batch in batches:
         right, x = vectors_of(batch.column(1), queries.shape[1])
         if not len(right):
             continue
-        s = scored(queries, x, metric)
-        if groups is not None:
-            s[groups[:, None] != np.asarray(batch.column(2).to_pylist(), object)[right][None, :]] = -np.inf
-        if flags is not None:
-            fits = np.array(batch.column(batch.num_columns - 1).take(pa.array(right)).to_pylist(), bool).reshape(len(right), -1)
-            s[~fits[:, flags].T] = -np.inf
-        best.merge(everyone, batch.column(0).to_numpy()[right], s)
+        slots = batch.column(0).to_numpy()[right]
+        fits = None if flags is None else np.array(batch.column(batch.num_columns - 1).take(pa.array(right)).to_pylist(), bool).reshape(len(right), -1)
+        if groups is None:
+            meetings = [(everyone, np.arange(len(right)))]
+        else:  # a row is scored for the queries of its group only
+            at = pc.index_in(batch.column(2).take(pa.array(right)), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            runs = np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+            meetings = [(np.flatnonzero(groups == at[r[0]]), r) for r in runs if at[r[0]] >= 0]
+        for q, r in meetings:
+            s = scored(queries[q], x[r], metric)
+            if fits is not None:
+                s[~fits[r][:, flags[q]].T] = -np.inf
+            best.merge(q, slots[r], s)
     yield best.batch(metric)
 
 
@@ -164,10 +174,12 @@ def knn_batch(
             raise VectorError("query vectors differ in length")
         q = np.array(block["v"].to_pylist(), np.float64)
         k = block["k"].to_numpy()
-        g = np.asarray(block["g"].to_pylist(), object) if group_col else None
+        coded = block["g"].combine_chunks().dictionary_encode() if group_col else None  # a null group is -1, which no row has
+        g = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) if group_col else None
+        known = coded.dictionary if group_col else None
         f = block["f"].to_numpy() if flags_col else None
         names = spark.createDataFrame(pa.table({"q": pa.array(range(len(q)), pa.int32()), "query_id": block["query_id"], "k": pa.array(k, pa.int32())}))
-        near = rows.select(*cols).mapInArrow(lambda it, q=q, k=k, g=g, f=f: _blocks(it, q, k, metric, g, f), "q int, slot long, score double")
+        near = rows.select(*cols).mapInArrow(lambda it, q=q, k=k, g=g, known=known, f=f: _blocks(it, q, k, metric, g, known, f), "q int, slot long, score double")
         one = near.join(F.broadcast(names), "q").drop("q")
         out = one if out is None else out.unionByName(one)
     if out is None:

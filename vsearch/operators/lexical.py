@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 
 from vsearch.functions.text import tokenize
 from vsearch.operators.knn import check_k
-from vsearch.runtime import small
+from vsearch.runtime import small, stage
 
 K1, B = 1.5, 0.75
 
 
-def doc_lengths(docs: DataFrame, slot: str = "slot", text: str = "text", group: str | None = None) -> DataFrame:
-    """(slot, toks, dl[, grp]) of every document; one without terms has length 0 and counts."""
-    grp = [F.col(group).alias("grp")] if group else []
+def doc_lengths(docs: DataFrame, slot: str = "slot", text: str = "text", group: str | None = None, flags: str | None = None) -> DataFrame:
+    """(slot, toks, dl[, grp, flags]) of every document; one without terms has length 0 and counts."""
+    grp = ([F.col(group).alias("grp")] if group else []) + ([F.col(flags).alias("flags")] if flags else [])
     return docs.select(F.col(slot).alias("slot"), tokenize(F.col(text)).alias("toks"), *grp).withColumn("dl", F.size("toks"))
 
 
@@ -56,7 +56,7 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str
 
 def bm25_batch(
     docs: DataFrame, queries: DataFrame, top_k: int = 10, k1: float = K1, b: float = B, allow: DataFrame | None = None, slot: str = "slot", text: str = "text", group: str | None = None,
-    query_id: str = "query_id", query_text: str = "query_text", query_k: str | None = None,
+    query_id: str = "query_id", query_text: str = "query_text", query_k: str | None = None, flags: str | None = None, query_flag: str | None = None,
 ) -> DataFrame:
     """(query_id, slot, score, rank): the best documents by BM25 for every query, ties by slot.
 
@@ -64,34 +64,45 @@ def bm25_batch(
     (slot) or (query_id, slot), restricts them; corpus statistics stay those of
     all ``docs``. ``group`` names a column of both tables: each query searches
     its group's documents with their statistics. ``query_k`` names a column
-    with each query's k. Queries without terms, and an empty corpus, give no
-    rows. Scores that agree to 12 digits tie, as sums are taken in any order.
-
-    Documents are read once and only the tokens that some query asks for leave
-    the scan; the terms of the queries are broadcast if few enough.
+    with each query's k. ``flags``, an array of booleans of a document, and
+    ``query_flag``, a place in it, restrict a query to the documents that have
+    its flag, without a table of what each query may find. Queries without
+    terms, and an empty corpus, give no rows. Scores that agree to 12 digits
+    tie, as sums are taken in any order.
+
+    Documents are read once: what leaves the scan, and is written, is a row for
+    each document and one for each of its terms that some query asks for. The
+    terms of the queries are broadcast if few enough.
     """
     check_k(top_k)
-    lengths = doc_lengths(docs, slot, text, group)
+    lengths = doc_lengths(docs, slot, text, group, flags)
     keys = ["grp"] if group else []
     terms = query_terms(queries, query_id, query_text, group)
     # all that is broadcast has at most a row for each term of each query
     hint = F.broadcast if small(terms) else (lambda df: df)
-    matched = (
-        lengths.select(*keys, "slot", "dl", F.explode("toks").alias("term"))
-        .join(hint(terms.select(*keys, "term").distinct()), [*keys, "term"])
-        .groupBy(*keys, "slot", "dl", "term").agg(F.count("*").alias("tf"))
+    # no term is empty: that one stands for the document
+    wanted = terms.select(*keys, "term").union(terms.select(*keys, F.lit(""))).distinct()
+    body = ["flags"] if flags else []
+    seen = (
+        lengths.select(*keys, "slot", "dl", *body, F.explode(F.concat("toks", F.array(F.lit("")))).alias("term"))
+        .join(hint(wanted), [*keys, "term"])
+        .groupBy(*keys, "slot", "dl", *body, "term").agg(F.count("*").alias("tf"))
     )
+    seen = stage(seen, "matched")
+    matched = seen.filter("term <> ''")
     freq = document_frequency(matched)
     weighted = terms.join(freq, [*keys, "term"])
-    if group:
-        asked = terms.select("grp").distinct()
-        weighted = weighted.join(hint(totals(lengths.join(hint(asked), "grp", "left_semi"))), "grp")
-    else:
-        weighted = weighted.crossJoin(F.broadcast(totals(lengths)))  # one row
+    whole = totals(seen.filter("term = ''"))
+    weighted = weighted.join(hint(whole), "grp") if group else weighted.crossJoin(F.broadcast(whole))  # one row
+    if flags:
+        weighted = weighted.join(hint(queries.select(F.col(query_id).alias("query_id"), F.col(query_flag).alias("_flag"))), "query_id")
     weighted = weighted.select(
+        *(["_flag"] if flags else []),
         "query_id", *keys, "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w"), (F.col("total_tokens") / F.greatest(F.col("n_docs"), F.lit(1))).alias("avgdl")
     )
     hits = matched.join(hint(weighted), [*keys, "term"])
+    if flags:
+        hits = hits.filter(F.col("flags")[F.col("_flag")])
     if allow is not None:
         hits = hits.join(allow, [c for c in ("query_id", "slot") if c in allow.columns], "left_semi")
     scores = hits.groupBy("query_id", "slot").agg(F.sum(F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
@@ -112,8 +123,9 @@ def bm25(docs: DataFrame, query: str, top_k: int = 10, k1: float = K1, b: float
 
 # --- a written index ----------------------------------------------------------------------------
 
-#: Folders that the postings are spread over; a search reads those of its terms only.
+#: Folders that the postings are spread over; a search reads those of its terms only. Each is written by up to SPREAD tasks, so a term of all documents isn't one task's work.
 BUCKETS = 64
+SPREAD = 16
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -135,7 +147,7 @@ class Lexicon:
         lengths = doc_lengths(docs, slot, text)
         lengths.select("slot", "dl").write.mode(mode).parquet(f"{self.path}/docs")
         post = postings(lengths).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        post.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
+        post.repartition("bucket", F.pmod(F.xxhash64("slot"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def build(self, docs: DataFrame, slot: str = "slot", text: str = "text") -> Lexicon:
         self._write(docs, "overwrite", slot, text)

@@ -14,7 +14,7 @@ from vsearch.operators import ann
 from vsearch.operators.fusion import candidate_depth, check_alpha, rrf
 from vsearch.operators.knn import check_k, check_metric, knn, knn_batch
 from vsearch.operators.lexical import bm25, bm25_batch
-from vsearch.runtime import BROADCAST_ROWS, broadcast_if_small
+from vsearch.runtime import BROADCAST_ROWS
 from vsearch.types import RequestError
 
 
@@ -97,9 +97,7 @@ def hybrid_batch(docs: DataFrame, queries: DataFrame, filters: Mapping[str, Mapp
     meta = parsed(F.col("metadata"))
     live = docs.filter("active").withColumn("flags", F.array(F.lit(True), *[compile_filters(f, meta) for f in filters.values()]))
     dense = knn_batch(live, asked, metric=metric, query_k="depth", group_col="coll_name", query_group="coll_name", flags_col="flags", query_flag="flag").select("query_id", "slot", "rank")
-    wanted = broadcast_if_small(asked.select("query_id", "coll_name", "flag"))
-    allow = live.select("slot", "coll_name", "flags").join(wanted, "coll_name").filter(F.col("flags")[F.col("flag")]).select("query_id", "slot")
-    sparse = bm25_batch(live, asked, allow=allow, group="coll_name", query_k="depth").select("query_id", "slot", "rank")
+    sparse = bm25_batch(live, asked, group="coll_name", query_k="depth", flags="flags", query_flag="flag").select("query_id", "slot", "rank")
     params = asked.select("query_id", "alpha", F.col("top_k").alias("k"))
     fused = rrf(dense, sparse, F.col("alpha"), F.col("k"), params)
     most = asked.agg(F.coalesce(F.sum("top_k"), F.lit(0))).first()[0]
