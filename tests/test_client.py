@@ -117,6 +117,57 @@ def test_store_and_recovery(spark, tmp_path):
         Collection.load(str(tmp_path / "none"), spark)
 
 
+def test_save_loses_nothing(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "db"), HashingEmbedder(4))
+    c.add("a", "first")
+    c.save()
+    assert c.store.meta().version >= 1 and not c.store.has_log()
+    c.add("b", "second")
+    c.save(str(tmp_path / "x" / ".." / "db"))  # onto itself
+    assert sorted(d["doc_id"] for d in Collection.load(str(tmp_path / "db"), spark, HashingEmbedder(4))) == ["a", "b"]
+    other = Collection(spark, str(tmp_path / "other"), HashingEmbedder(4), metric="l2")
+    other.add("z", "another")
+    other.commit()
+    opened = other.store.load()
+    other.add("y", "logged only")
+    c.save(other.store.path)  # over another collection, whose old version stays until it is vacuumed
+    assert [r["doc_id"] for r in opened.collect()] == ["z"]
+    again = Collection.load(other.store.path, spark, HashingEmbedder(4))
+    assert sorted(d["doc_id"] for d in again) == ["a", "b"] and again.metric == "cosine"
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "letter.txt").write_text("dear")
+    with pytest.raises(StoreError):
+        c.save(str(tmp_path / "mine"))
+    assert (tmp_path / "mine" / "letter.txt").read_text() == "dear" and len(c) == 2
+    with pytest.raises(StoreError):
+        Collection(spark, embedder=HashingEmbedder(4)).save()
+
+
+def test_an_entry_is_applied_once_even_if_the_log_stays(spark, tmp_path, monkeypatch):
+    """A crash between the pointer's move and the log's end."""
+    e = HashingEmbedder(4)
+    c = Collection(spark, str(tmp_path / "db"), e)
+    c.add("a", "first")
+    c.delete("a")
+    monkeypatch.setattr("vsearch.sources.log.LogWriter.truncate", lambda *a: None)
+    c.commit()
+    assert c.store.log.has_entries() and not c.store.has_log()
+    assert "a" not in Collection.load(str(tmp_path / "db"), spark, e) and c.info()["file_exists"] and not c.info()["wal_exists"]
+
+
+def test_graph_index(spark, tmp_path):
+    e = HashingEmbedder(128)
+    c = Collection(spark, str(tmp_path / "db"), embedder=e, index_type="hnsw", m=4, ef_construction=20)
+    assert c.search("nothing there") == []
+    c.add_many([{"doc_id": f"d{i}", "text": f"word{i} other{i}", "metadata": {"n": i % 2}} for i in range(150)])
+    assert c.search("word7 other7", 1)[0].doc_id == "d7" and c.search("word7 other7", 1, {"n": 0})[0].doc_id != "d7"
+    c.delete("d7")
+    c.add("new", "word7 other7")
+    assert [h.doc_id for h in c.search("word7 other7", 1)] == ["new"] and c.hybrid_search("word9 other9", 1)[0].doc_id == "d9"
+    c.commit()
+    assert Collection.load(str(tmp_path / "db"), spark, e).index_type == "hnsw" and len(c.index()) == 151
+
+
 def test_versions(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     with pytest.raises(StoreError):
@@ -173,7 +224,7 @@ def test_command_line(spark, tmp_path, capsys):
 
     assert run()[0] == 1
     assert run("info", db)[0] == 1
-    assert run("init", db, "--dimension", "384")[0] == 0 and run("init", db)[0] == 1 and run("init", db, "--force")[0] == 0
+    assert run("init", db, "-d", "384")[0] == 0 and run("init", db)[0] == 1 and run("init", db, "-f")[0] == 0
     assert run("ingest", str(tmp_path / "none"), "--db", db)[0] == 1
     code, out = run("ingest", str(src), "--db", db, "--chunk-size", "500", "--overlap", "50")
     assert code == 0 and "4 chunks" in out

@@ -15,12 +15,12 @@ def asking(spark, x, step=20):
     return spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(0, len(x), step)], "query_id long, query_vector array<double>")
 
 
-@pytest.mark.parametrize("n", [1, 2, 40, 65, 3000])
+@pytest.mark.parametrize("n", [1, 2, 40, 513, 4000])
 def test_graph(n):
     x = np.random.default_rng(n).normal(size=(n, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = graph.LayeredGraph(x)
-    assert g.levels()[0] == n and g.levels() == sorted(g.levels(), reverse=True) and (n <= 64) == (len(g.levels()) == 1)
+    assert g.levels()[0] == n and g.levels() == sorted(g.levels(), reverse=True) and (n <= graph.TOP_NODES) == (len(g.levels()) == 1)
     ids, sims = g.search(x, 50)
     assert (ids[:, 0] == np.arange(n)).mean() > 0.99
     k = min(10, n)
@@ -32,19 +32,19 @@ def test_graph(n):
 
 
 def test_many_copies_do_not_cut_off_the_rest():
-    x = np.random.default_rng(1).normal(size=(600, 16)).astype(np.float32)
-    x[:400] = x[0]
+    x = np.random.default_rng(1).normal(size=(1600, 16)).astype(np.float32)
+    x[:1000] = x[0]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids, _ = graph.LayeredGraph(x).search(x[400:], 50)
-    assert (ids[:, 0] == np.arange(400, 600)).mean() > 0.95
+    ids, _ = graph.LayeredGraph(x).search(x[1000:], 50)
+    assert (ids[:, 0] == np.arange(1000, 1600)).mean() > 0.95
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_recall_over_shards(spark, metric):
-    x = np.random.default_rng(42).normal(size=(1500, 16)) * np.random.default_rng(1).uniform(0.5, 2, size=(1500, 1))
+    x = np.random.default_rng(42).normal(size=(2500, 16)) * np.random.default_rng(1).uniform(0.5, 2, size=(2500, 1))
     df, asked = frame(spark, x), asking(spark, x)
-    index = graph.build_graph(df, metric, shard_rows=400)
-    assert index.shards == 4 and len(index) == 1500 and "GraphIndex" in repr(index)
+    index = graph.build_graph(df, metric, shard_rows=700)
+    assert index.shards == 4 and len(index) == 2500 and "GraphIndex" in repr(index)
     exact = knn_batch(df, asked, 10, metric)
     found = graph.graph_search_batch(index, asked, 10)
     assert ann.recall(found, exact).first()[0] >= 0.95

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from oracle import check
 from pyspark.sql import functions as F
@@ -56,6 +58,19 @@ def test_filters_are_worked_through_in_blocks(spark, sf_dir, monkeypatch):
     assert seen == [0, 3, 1]
 
 
+def test_more_filters_than_a_block(spark, sf_dir):
+    """1,500 different filters: all are answered, and no table of allowed rows is made."""
+    some = core.search_queries(spark, sf_dir).filter("trim(query_text) <> ''").limit(1).drop("filter_json", "query_id")
+    many = spark.range(1500).select(F.col("id").alias("query_id"), F.format_string('{"lang": {"$ne": "x%d"}}', "id").alias("filter_json")).crossJoin(F.broadcast(some))
+    rows = core.docs(spark, sf_dir)
+    names = [r[0] for r in many.select("filter_json").collect()]
+    found = [plans.hybrid_batch(rows, many.filter(F.col("filter_json").isin(block)), {t: json.loads(t) for t in block}) for block in (names[:1000], names[1000:])]
+    want = found[0].filter("query_id = 0").count()
+    assert want > 0 and all(f.groupBy("query_id").count().filter(F.col("count") == want).count() == n for f, n in zip(found, (1000, 500)))
+    plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
 def test_a_query_whose_filter_is_lacking_is_an_error(spark, sf_dir):
     with pytest.raises(RequestError):
         plans.hybrid_batch(core.docs(spark, sf_dir), core.search_queries(spark, sf_dir), {}).count()

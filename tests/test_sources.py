@@ -1,12 +1,17 @@
+import io
 import json
+import os
+import sys
+import types
+import zipfile
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from vsearch.sources import sv
-from vsearch.sources.files import parse_file, read_files
-from vsearch.sources.log import LogWriter, parse_lines
+from vsearch.sources.files import decode_pdf, parse_file, read_files
+from vsearch.sources.log import LogWriter, parse_lines, read_log
 from vsearch.streaming import ingest
 from vsearch.types import SourceError, StoreError
 
@@ -28,6 +33,42 @@ def test_files(spark, tmp_path):
             parse_file(str(tmp_path / bad))
 
 
+def docx(body):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">{body}</w:document>')
+    return out.getvalue()
+
+
+def test_docx(spark, tmp_path):
+    p = lambda *runs: "<w:p><w:pPr/>" + "".join(f"<w:r><w:rPr/>{r}</w:r>" for r in runs) + "</w:p>"
+    table = "<w:tbl><w:tr><w:tc>" + p("<w:t>cell</w:t>") + "</w:tc></w:tr></w:tbl>"
+    body = "<w:body>" + p("<w:t>First </w:t>", "<w:t>line &amp; more</w:t>") + p() + p("<w:t> </w:t>") + table + p("<w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>ü</w:t>") + "</w:body>"
+    (tmp_path / "a.docx").write_bytes(docx(body))
+    (tmp_path / "b.docx").write_bytes(docx(""))
+    (tmp_path / "c.docx").write_bytes(b"PK no zip")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] is None) for r in read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": ("First line & more\na\tb\nü", True), "b.docx": (None, False), "c.docx": (None, False)}
+
+
+def test_pdf(monkeypatch):
+    """With a stand-in for the library, which isn't installed here."""
+
+    class Page:
+        def __init__(self, text):
+            self.get_text = lambda: text
+
+    class Doc(list):
+        __enter__, __exit__ = (lambda self: self), (lambda self, *a: None)
+
+    def opened(stream, filetype):
+        assert (stream, filetype) == (b"%PDF", "pdf")
+        return Doc([Page("one\n"), Page(" \n"), Page("two")])
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=opened))
+    assert decode_pdf(b"%PDF") == "one\n\n\ntwo"
+
+
 @pytest.fixture
 def rows():
     return pd.DataFrame(
@@ -98,6 +139,43 @@ def test_log_writer(spark, tmp_path):
     assert not log.has_entries()
 
 
+def test_log_segments(spark, tmp_path, monkeypatch):
+    log = LogWriter(str(tmp_path / "log"))
+    for i in range(12):
+        log.append([{"op": "delete", "doc_id": f"d{i}"}])
+    assert len(os.listdir(log.path)) == 1
+    again = LogWriter(log.path)
+    with open(log._file(1), "ab") as f:
+        f.write(b'{"op": "delete", "doc')  # a crash while writing
+    again.append([{"op": "delete", "doc_id": "e"}])
+    again.append([{"op": "delete", "doc_id": "f"}, {"op": "delete", "doc_id": "g"}])
+    again.append([])
+    assert [r["doc_id"] for r in again.read(spark).orderBy("seq").collect()] == [*(f"d{i}" for i in range(12)), "e", "f", "g"]
+    since = again.next_number()
+    again.append([{"op": "delete", "doc_id": "h"}])
+    assert [r["doc_id"] for r in again.read(spark, since).collect()] == ["h"] and again.has_entries(since) and not again.has_entries(since + 1)
+    again.truncate(since)
+    assert again.read(spark).count() == 1 and LogWriter(log.path).next_number() == since + 1
+    monkeypatch.setattr("vsearch.sources.log.SEGMENT_BYTES", 10)
+    again.append([{"op": "delete", "doc_id": "i"}])
+    again.append([{"op": "delete", "doc_id": "j"}])
+    assert [r["doc_id"] for r in again.read(spark).orderBy("seq").collect()] == ["h", "i", "j"]
+
+
+def test_a_large_log_is_read_in_blocks_and_in_order(spark, tmp_path):
+    with open(tmp_path / "x.log", "w") as f:
+        for i in range(20_000):
+            f.write(json.dumps({"op": "delete", "doc_id": f"d{i}", "text": "t" * (i % 7)}) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = read_log(spark, str(tmp_path))
+        got = rows.orderBy("seq").select("seq", "doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in got] == [(i, f"d{i}") for i in range(20_000)]
+
+
 def test_stream(spark, tmp_path):
     from vsearch.store import Store
 

@@ -126,3 +126,21 @@ def test_cells(spark, metric, tmp_path):
 def test_cells_need_vectors(spark, docs):
     with pytest.raises(VectorError):
         ann.build_cells(docs.limit(0))
+
+
+def test_the_cells_dimension_is_that_of_most(spark):
+    rows = [(i, f"d{i}", [1.0] if i < 4 else [float(i), 1.0]) for i in range(30)]
+    index = ann.build_cells(spark.createDataFrame(rows, "slot long, doc_id string, vector array<float>"))
+    assert index.centroids.shape == (16, 2) and index.rows.filter("cell < 0").count() == 4
+    assert ids(ann.cell_search(index, [9.0, 1.0], 1, 4, exact_rows=0)) != []
+
+
+def test_groups_and_flags_of_a_batch(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(a) for a in rng.normal(size=4)], [None, "a", "b", "c"][i % 4], [True, i % 3 == 0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "slot long, vector array<float>, g string, flags array<boolean>").repartition(3)
+    asked = spark.createDataFrame([(q, [float(a) for a in rng.normal(size=4)], ["a", "b", "zz", None][q % 4], q % 2) for q in range(8)], "query_id long, query_vector array<double>, g string, f int")
+    got = knn_batch(df, asked, 4, group_col="g", query_group="g", flags_col="flags", query_flag="f").collect()
+    for r in asked.collect():
+        want = [] if r["g"] is None else knn(df, r["query_vector"], 4, mask=(F.col("g") == r["g"]) & F.col("flags")[r["f"]], id_col="slot").orderBy("rank").collect()
+        assert sorted((x["rank"], x["slot"]) for x in got if x["query_id"] == r["query_id"]) == [(x["rank"], x["slot"]) for x in want]

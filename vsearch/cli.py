@@ -75,8 +75,8 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command")
     c = sub.add_parser("init", help="create a collection")
     c.add_argument("db")
-    c.add_argument("--dimension", type=int, default=384)
-    c.add_argument("--force", action="store_true")
+    c.add_argument("-d", "--dimension", type=int, default=384)
+    c.add_argument("-f", "--force", action="store_true")
     c.set_defaults(run=_init)
     c = sub.add_parser("ingest", help="add the texts of a file or folder")
     c.add_argument("path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
@@ -12,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vsearch.embed import Embedder, HashingEmbedder
-from vsearch.operators import ann, mutate
+from vsearch.operators import ann, graph, mutate
 from vsearch.operators.knn import check_metric
 from vsearch.plans import search as plans
 from vsearch.runtime import ship, stage
 from vsearch.store import Store
 from vsearch.types import DOCS, LOG, RequestError, StoreError, VectorError
 
-INDEX_TYPES = ("flat", "cells")
+INDEX_TYPES = ("flat", "cells", "hnsw")
+#: Ids of a batch are looked up in blocks of so many.
+ID_BLOCK = 10_000
 
 
 @dataclass
@@ -48,7 +51,8 @@ class Collection:
     """
 
     def __init__(
-        self, spark: SparkSession | None = None, path: str | None = None, embedder: Embedder | None = None, metric: str = "cosine", index_type: str = "flat", dimension: int | None = None, cells: int = 16
+        self, spark: SparkSession | None = None, path: str | None = None, embedder: Embedder | None = None, metric: str = "cosine", index_type: str = "flat", dimension: int | None = None, cells: int | None = None,
+        m: int = graph.M, ef_construction: int = graph.EF_CONSTRUCTION, ef_search: int = graph.EF_SEARCH,
     ):
         check_metric(metric)
         if index_type not in INDEX_TYPES:
@@ -57,11 +61,12 @@ class Collection:
         ship(self.spark)
         self.embedder = embedder or HashingEmbedder(dimension or 384)
         self.metric, self.index_type, self.cells = metric, index_type, cells
+        self.m, self.ef_construction, self.ef_search = m, ef_construction, ef_search
         self.store = Store(self.spark, path) if path else None
         self._dimension = dimension
         self._pending: list[tuple] = []
         self._known: dict[str, bool] = {}  # state of the ids that pending changes touch
-        self._index: tuple[int, ann.CellIndex] | None = None
+        self._index: tuple[int, ann.CellIndex | graph.GraphIndex] | None = None
         self._changes = 0
         if self.store and self.store.exists():
             meta = self.store.meta()
@@ -70,7 +75,7 @@ class Collection:
         else:
             if self.store:
                 self.store.create(dimension, metric, index_type)
-                if self.store.log.has_entries():
+                if self.store.has_log():
                     self._base = self.store.recover()
             self._base = self.store.load() if self.store else self.spark.createDataFrame([], DOCS)
 
@@ -96,12 +101,14 @@ class Collection:
             self._known[doc_id] = row[0] if row else None
         return self._known[doc_id]
 
-    def _log(self, op: str, doc_id: str, text: str | None = None, vector: list[float] | None = None, metadata: str | None = None) -> None:
+    def _log(self, op: str, rows: Sequence[tuple]) -> None:
+        """Rows of (doc_id[, text, vector, metadata]); all of them are logged or none."""
+        rows = [(*r, None, None, None)[:4] for r in rows]
         if self.store:
-            entry = {"op": op, "doc_id": doc_id, "text": text, "vector": vector, "metadata": None if metadata is None else json.loads(metadata)}
-            self.store.log.append([entry])
-        self._pending.append((len(self._pending), op, doc_id, text, vector, metadata))
-        self._known[doc_id] = op != "delete"
+            self.store.log.append([{"op": op, "doc_id": i, "text": t, "vector": v, "metadata": None if m is None else json.loads(m)} for i, t, v, m in rows])
+        for row in rows:
+            self._pending.append((len(self._pending), op, *row))
+            self._known[row[0]] = op != "delete"
 
     def _vector(self, text: str, vector: Sequence[float] | None) -> list[float]:
         v = np.asarray(self.embedder.embed_batch([text])[0] if vector is None else vector, np.float32)
@@ -126,7 +133,7 @@ class Collection:
         v, m = self._vector(text, vector), _json(metadata)
         if self._state(doc_id) is not None:
             raise StoreError(f"doc_id {doc_id!r} exists")
-        self._log("insert", doc_id, text, v, m)
+        self._log("insert", [(doc_id, text, v, m)])
         return doc_id
 
     def insert(self, doc_id: str, text: str, metadata: Mapping[str, Any] | None = None, vector: Sequence[float] | None = None) -> bool:
@@ -141,16 +148,19 @@ class Collection:
         ids = [d["doc_id"] for d in documents]
         if len(set(ids)) < len(ids):
             raise StoreError("a doc_id comes twice")
-        there = {r[0] for r in self._base.join(self.spark.createDataFrame([(i,) for i in ids], "doc_id string"), "doc_id", "left_semi").select("doc_id").collect()} if ids else set()
-        there |= {i for i in ids if self._known.get(i) is not None}
+        there = [i for i in ids if self._known.get(i) is not None]
+        for at in range(0, len(ids), ID_BLOCK):
+            if there:
+                break
+            asked = self.spark.createDataFrame([(i,) for i in ids[at : at + ID_BLOCK]], "doc_id string")
+            there = [r[0] for r in self._base.join(F.broadcast(asked), "doc_id", "left_semi").select("doc_id").take(1)]
         if there:
-            raise StoreError(f"doc_id {sorted(there)[0]!r} exists")
+            raise StoreError(f"doc_id {there[0]!r} exists")
         if not ids:
             return []
         vectors = self.embedder.embed_batch([d["text"] for d in documents])
         rows = [(d["doc_id"], d["text"], self._vector(d["text"], v), _json(d.get("metadata"))) for d, v in zip(documents, vectors)]
-        for row in rows:
-            self._log("insert", *row)
+        self._log("insert", rows)
         return ids
 
     def add_frame(self, rows: DataFrame) -> None:
@@ -172,7 +182,7 @@ class Collection:
         v, m = self._vector(text, vector), _json(metadata)
         if self._state(doc_id) is None:
             raise StoreError(f"doc_id {doc_id!r} doesn't exist")
-        self._log("update", doc_id, text, v, m)
+        self._log("update", [(doc_id, text, v, m)])
         return doc_id
 
     def upsert(self, doc_id: str, text: str, metadata: Mapping[str, Any] | None = None, vector: Sequence[float] | None = None) -> str:
@@ -194,7 +204,7 @@ class Collection:
         if state is None:
             raise StoreError(f"doc_id {doc_id!r} doesn't exist")
         if state:
-            self._log("delete", doc_id)
+            self._log("delete", [(doc_id,)])
         return state
 
     def compact(self) -> int:
@@ -218,11 +228,19 @@ class Collection:
         self._base = self.store.load()
         return version
 
-    def save(self, path: str) -> None:
-        """A copy at another place; this collection stays where it is."""
+    def save(self, path: str | None = None) -> None:
+        """Commit or, with another ``path``, write a copy there; this collection stays where it is.
+
+        A collection that is there already gets the copy as its next version.
+        A folder that holds anything else is an error.
+        """
+        if path is None or self.store and os.path.realpath(path) == os.path.realpath(self.store.path):
+            self.commit()
+            return
         other = Store(self.spark, path)
-        other.create(self._dimension, self.metric, self.index_type, overwrite=True)
-        other.commit(self.docs)
+        if not other.exists():
+            other.create(self._dimension, self.metric, self.index_type)
+        other.commit(self.docs, self._dimension, metric=self.metric, index_type=self.index_type)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession | None = None, embedder: Embedder | None = None) -> Collection:
@@ -233,13 +251,15 @@ class Collection:
 
     # --- search --------------------------------------------------------------
 
-    def _cells(self) -> ann.CellIndex | None:
-        """The index of the present documents; rebuilt when they changed."""
+    def index(self) -> ann.CellIndex | graph.GraphIndex | None:
+        """The index of the present documents; rebuilt when they changed. None for flat search."""
         docs = self.docs
-        if self.index_type != "cells" or docs.isEmpty():
+        if self.index_type == "flat" or docs.isEmpty():
             return None
         if self._index is None or self._index[0] != self._changes:
-            self._index = (self._changes, ann.build_cells(docs, self.cells, self.metric, str(self._changes)))
+            version = str(self._changes)
+            made = ann.build_cells(docs, self.cells, self.metric, version) if self.index_type == "cells" else graph.build_graph(docs, self.metric, self.m, self.ef_construction, version=version)
+            self._index = (self._changes, made)
         return self._index[1]
 
     def _query_vector(self, query: str | Sequence[float]) -> list[float]:
@@ -255,7 +275,7 @@ class Collection:
         return [Hit(r["doc_id"], r["text"], r["score"], json.loads(r["metadata"] or "{}")) for r in found.collect()]
 
     def search(self, query: str | Sequence[float], top_k: int = 5, filters: Mapping[str, Any] | None = None) -> list[Hit]:
-        return self._hits(plans.search(self.docs, self._query_vector(query), top_k, filters, self.metric, self._cells()))
+        return self._hits(plans.search(self.docs, self._query_vector(query), top_k, filters, self.metric, self.index(), self.ef_search))
 
     def search_batch(self, queries: Sequence[str | Sequence[float]], top_k: int = 5, filters: Mapping[str, Any] | None = None) -> list[list[Hit]]:
         if not len(queries):
@@ -272,7 +292,7 @@ class Collection:
     def hybrid_search(self, query: str, top_k: int = 5, alpha: float = 0.5, filters: Mapping[str, Any] | None = None, vector: Sequence[float] | None = None) -> list[Hit]:
         plans.check_query(query)
         v = self._query_vector(query if vector is None else vector)
-        return self._hits(plans.hybrid_search(self.docs, query, v, top_k, alpha, filters, self.metric, self._cells()))
+        return self._hits(plans.hybrid_search(self.docs, query, v, top_k, alpha, filters, self.metric, self.index(), self.ef_search))
 
     # --- lookups -------------------------------------------------------------
 
@@ -306,7 +326,7 @@ class Collection:
         at = self.store
         return row | {
             "path": at.path if at else None, "metric": self.metric, "index_type": self.index_type, "model": self.embedder.model_name,
-            "store_bytes": at.size() if at else 0, "log_bytes": at.log.size() if at else 0,
+            "store_bytes": at.size() if at else 0, "log_bytes": at.log.size() if at else 0, "file_exists": bool(at and at.exists()), "wal_exists": bool(at and at.has_log()),
         }
 
     def __len__(self) -> int:

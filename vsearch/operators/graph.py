@@ -28,8 +28,8 @@ EF_CONSTRUCTION = 100
 EF_SEARCH = 50
 #: Vectors of a shard, on average. All shards answer a query; each is one task's work.
 SHARD_ROWS = 50_000
-#: Nodes of a layer that is searched whole.
-TOP_NODES = 64
+#: A layer of no more nodes is searched whole: at that size a matrix product is faster than steps along edges.
+TOP_NODES = 512
 #: Candidates opened at each step of a beam search, and queries that take their steps together.
 OPEN = 4
 BLOCK = 256

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vsearch.functions.filters import compile_filters, parsed
 from vsearch.functions.text import blank
-from vsearch.operators import ann
+from vsearch.operators import ann, graph
 from vsearch.operators.fusion import candidate_depth, check_alpha, rrf
 from vsearch.operators.knn import check_k, check_metric, knn, knn_batch
 from vsearch.operators.lexical import bm25, bm25_batch
@@ -39,10 +39,21 @@ def hydrate(hits: DataFrame, docs: DataFrame, most: int, keys: Sequence[str] = (
     return body.join(_hinted(hits, most), "slot").select(*keys, "rank", "doc_id", "text", F.round("score", 6).alias("score"), "metadata")
 
 
-def search(docs: DataFrame, query: Sequence[float], top_k: int = 5, filters: Mapping[str, Any] | None = None, metric: str = "cosine", index: ann.CellIndex | None = None, nprobe: int = 8) -> DataFrame:
+Index = ann.CellIndex | graph.GraphIndex
+
+
+def nearest(docs: DataFrame, query: Sequence[float], top_k: int, metric: str, mask: Column, index: Index | None, ef: int = graph.EF_SEARCH, nprobe: int = 8) -> DataFrame:
+    """The top k by an index, or exactly without one."""
+    if isinstance(index, graph.GraphIndex):
+        return graph.graph_search(index, docs, query, top_k, ef, mask)
+    return ann.cell_search(index, query, top_k, nprobe, mask) if index is not None else knn(docs, query, top_k, metric, mask)
+
+
+def search(
+    docs: DataFrame, query: Sequence[float], top_k: int = 5, filters: Mapping[str, Any] | None = None, metric: str = "cosine", index: Index | None = None, ef: int = graph.EF_SEARCH, nprobe: int = 8
+) -> DataFrame:
     """(rank, doc_id, text, score, metadata) of the nearest active documents that meet the filters, which apply before the search."""
-    mask = eligible(filters)
-    hits = ann.cell_search(index, query, top_k, nprobe, mask) if index else knn(docs, query, top_k, metric, mask)
+    hits = nearest(docs, query, top_k, metric, eligible(filters), index, ef, nprobe)
     return hydrate(hits.drop("id"), docs, top_k).orderBy("rank")
 
 
@@ -59,14 +70,15 @@ def keyword_search(docs: DataFrame, query: str, top_k: int = 5, filters: Mapping
 
 
 def hybrid_search(
-    docs: DataFrame, text: str, vector: Sequence[float], top_k: int = 5, alpha: float = 0.5, filters: Mapping[str, Any] | None = None, metric: str = "cosine", index: ann.CellIndex | None = None
+    docs: DataFrame, text: str, vector: Sequence[float], top_k: int = 5, alpha: float = 0.5, filters: Mapping[str, Any] | None = None, metric: str = "cosine", index: Index | None = None,
+    ef: int = graph.EF_SEARCH,
 ) -> DataFrame:
     """Dense and keyword rankings, each to max(3 * top_k, 20), fused; ``alpha`` is the weight of the dense one."""
     check_query(text)
     check_k(top_k)
     check_alpha(alpha)
     mask, depth = eligible(filters), candidate_depth(top_k)
-    dense = ann.cell_search(index, vector, depth, mask=mask) if index else knn(docs, vector, depth, metric, mask)
+    dense = nearest(docs, vector, depth, metric, mask, index, ef)
     allow = docs.filter(mask).select("slot") if filters else None
     sparse = bm25(docs.filter("active"), text, depth, allow=allow)
     tag = F.lit(0).alias("query_id")

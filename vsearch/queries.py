@@ -7,6 +7,7 @@ text corpus ``documents``; every query runs over its whole tables.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -20,10 +21,11 @@ from vsearch.embed import HashingEmbedder, embedding
 from vsearch.functions import vector as V
 from vsearch.functions.filters import compile_filters, parsed
 from vsearch.functions.text import chunks, tokenize
-from vsearch.operators import ann, chunking, fusion, knn, lexical, mutate
+from vsearch.operators import ann, chunking, fusion, graph, knn, lexical, mutate
 from vsearch.plans import search as plans
-from vsearch.runtime import shared_dir, table
+from vsearch.runtime import shared_dir, stage, table
 from vsearch.sources.log import parse_lines
+from vsearch.sources.sv import read_sv, write_sv
 from vsearch.store import Store
 from vsearch.streaming.ingest import op_counts
 from vsearch.types import DOCS, StoreError
@@ -64,10 +66,9 @@ def vector_norms(spark, d):
     return docs(spark, d).select("slot", F.round(V.norm(F.col("vector")), 6).alias("norm"))
 
 
-def _knn(spark, d, metric="cosine", k=TOP_K, mask=None, zero=False, coll=None):
+def _knn(spark, d, metric="cosine", k=TOP_K, mask=None, zero=False):
     q = query_row(spark, d)["query_vector"]
-    rows = live(spark, d).filter(F.col("coll_name") == coll) if coll else live(spark, d)
-    found = knn.knn(rows, [0.0] * len(q) if zero else q, k, metric, mask)
+    found = knn.knn(live(spark, d), [0.0] * len(q) if zero else q, k, metric, mask)
     return _scored(found.withColumnRenamed("id", "doc_id"), "doc_id")
 
 
@@ -361,16 +362,16 @@ def _chunk_sql(rows: str, key: str, size: str, overlap: str) -> str:
 
 
 def _packed_sql(rows: str, key: str, size: str, overlap: str, sep: str) -> str:
-    joined = f"regexp_replace(a.c || {sep} || x.c, '^\\s+|\\s+$', '', 'g')"
+    joined = "regexp_replace(a.c || p_ || x.c, '^\\s+|\\s+$', '', 'g')"
     return f"""
-        WITH t AS (SELECT {key}, text, list_filter(list_transform(string_split(text, {sep}), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS segs
+        t AS (SELECT {key}, text, {size} AS z_, {overlap} AS o_, {sep} AS p_, list_filter(list_transform(string_split(text, {sep}), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS segs
                    FROM {rows} WHERE text IS NOT NULL AND regexp_matches(text, '\\S')),
-        f AS (SELECT {key}, text, list_reduce(list_transform(segs, lambda s: {{'o': []::VARCHAR[], 'c': s}}), lambda a, x:
+        f AS (SELECT {key}, text, z_, list_reduce(list_transform(segs, lambda s: {{'o': []::VARCHAR[], 'c': s}}), lambda a, x:
                 CASE WHEN a.c = '' THEN {{'o': a.o, 'c': x.c}}
-                     WHEN length({joined}) <= {size} THEN {{'o': a.o, 'c': {joined}}}
-                     ELSE {{'o': list_append(a.o, a.c), 'c': right(a.c, {overlap}) || {sep} || x.c}} END, {{'o': []::VARCHAR[], 'c': ''}}) AS r FROM t),
-        l AS (SELECT {key}, CASE WHEN length(text) <= {size} THEN [text] WHEN r.c = '' THEN r.o ELSE list_append(r.o, r.c) END AS l FROM f)
-        SELECT {key}, i - 1 AS chunk_index, l[i] AS chunk FROM l, unnest(range(1, len(l) + 1)) u(i)"""
+                     WHEN length({joined}) <= z_ THEN {{'o': a.o, 'c': {joined}}}
+                     ELSE {{'o': list_append(a.o, a.c), 'c': CASE WHEN o_ > 0 THEN right(a.c, o_) || p_ || x.c ELSE x.c END}} END, {{'o': []::VARCHAR[], 'c': ''}}) AS r FROM t),
+        l AS (SELECT {key}, CASE WHEN length(text) <= z_ THEN [text] WHEN r.c = '' THEN r.o ELSE list_append(r.o, r.c) END AS l FROM f)
+        p AS (SELECT {key}, i - 1 AS chunk_index, l[i] AS chunk FROM l, unnest(range(1, len(l) + 1)) u(i))"""
 
 
 # --- changes ------------------------------------------------------------------------------------
@@ -465,6 +466,24 @@ def _replay_sql() -> str:
         SELECT {_OUT} FROM fin"""
 
 
+def _revive_sql() -> str:
+    """Entry by entry: the state of a document after each of its entries."""
+    new = "(x.op = 'update' OR (x.op = 'insert' AND NOT (a.there AND a.act)))"
+    return f"""
+        WITH {_LOG},
+        ev AS (SELECT doc_id, list({{'op': op, 's': seq, 'there': false, 'act': false, 'pick': NULL::BIGINT, 'born': NULL::BIGINT}} ORDER BY seq) AS es FROM log GROUP BY doc_id),
+        st AS (SELECT doc_id, [{{'op': '', 's': 0::BIGINT, 'there': s.doc_id IS NOT NULL, 'act': coalesce(s.active, false), 'pick': NULL::BIGINT, 'born': NULL::BIGINT}}] || es AS es FROM ev LEFT JOIN snapshot_docs s USING (doc_id)),
+        en AS (SELECT doc_id, list_reduce(es, lambda a, x: {{'op': '', 's': 0::BIGINT, 'there': a.there OR x.op IN ('insert', 'update'),
+                 'act': CASE WHEN x.op = 'delete' THEN false WHEN {new} THEN true ELSE a.act END, 'pick': CASE WHEN {new} THEN x.s ELSE a.pick END,
+                 'born': CASE WHEN NOT a.there AND x.op IN ('insert', 'update') THEN x.s ELSE a.born END}}) AS e FROM st),
+        ids AS (SELECT doc_id, slot, text, metadata, active, vector, false AS fresh FROM snapshot_docs
+                UNION ALL SELECT doc_id, (SELECT max(slot) FROM snapshot_docs) + row_number() OVER (ORDER BY e.born), NULL, NULL, true, NULL, true FROM en WHERE e.born IS NOT NULL),
+        fin AS (SELECT ids.doc_id, slot, CASE WHEN e.pick IS NULL THEN ids.text ELSE l.text END AS text, CASE WHEN e.pick IS NULL THEN ids.metadata ELSE l.metadata END AS metadata,
+                  CASE WHEN e.pick IS NULL THEN ids.vector ELSE l.vector END AS vector, coalesce(e.act, ids.active) AS active
+                FROM ids LEFT JOIN en USING (doc_id) LEFT JOIN log l ON l.seq = e.pick)
+        SELECT {_OUT} FROM fin"""
+
+
 # --- approximate search, embedding, store ----------------------------------------------------------
 
 
@@ -477,6 +496,27 @@ def ivf_search_batch(spark, d):
     return _scored(ann.cell_search_batch(ann.build_cells(live(spark, d), 16), search_queries(spark, d), TOP_K, 10), "query_id", "slot")
 
 
+def graph_search(spark, d):
+    index = graph.build_graph(docs(spark, d))
+    return _scored(graph.graph_search(index, docs(spark, d), query_row(spark, d)["query_vector"], TOP_K, mask=F.col("active")).withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+def graph_search_batch(spark, d):
+    return _scored(graph.graph_search_batch(graph.build_graph(live(spark, d)), search_queries(spark, d), TOP_K), "query_id", "slot")
+
+
+def graph_masked_few(spark, d):
+    """A filter that leaves little of a shard, which is then searched exactly."""
+    index = graph.build_graph(docs(spark, d))
+    few = docs(spark, d).filter(plans.eligible(FILTERS["filter_range"])).select("slot")
+    return _scored(graph.graph_search_batch(index, search_queries(spark, d), TOP_K, mask=few), "query_id", "slot")
+
+
+def graph_recall(spark, d):
+    rows, asked = live(spark, d), search_queries(spark, d)
+    return ann.recall(graph.graph_search_batch(graph.build_graph(rows), asked, TOP_K), knn.knn_batch(rows, asked, TOP_K))
+
+
 def lsh_search(spark, d):
     return ann.lsh_search(live(spark, d), query_row(spark, d)["query_vector"], TOP_K)
 
@@ -493,11 +533,31 @@ def embed_hash_udf(spark, d):
 
 def snapshot_roundtrip(spark, d):
     """The collection through a store of its own: created, committed, loaded. All its values are compared, those that aren't returned too."""
-    store = Store(spark, f"{shared_dir(spark).removeprefix('file://')}/stage/roundtrip-{uuid.uuid4().hex}")
+    store = Store(spark, f"{_folder(spark)}/roundtrip-{uuid.uuid4().hex}")
     store.create()
     store.commit(docs(spark, d))
-    rows = store.load()
-    written, read = docs(spark, d).select(*DOCS.names).alias("w"), rows.alias("r")
+    return _compared(docs(spark, d).select(*DOCS.names), Store(spark, store.path).load())
+
+
+def sv_roundtrip(spark, d):
+    """The collection through one file of its own: written, read. All its values are compared; metadata that is no JSON object isn't representable there and becomes {}."""
+    path = f"{_folder(spark)}/roundtrip-{uuid.uuid4().hex}.sv"
+    meta = parsed(F.col("metadata"))
+    plain = F.when(F.schema_of_variant(meta).startswith("OBJECT"), F.to_json(meta)).otherwise("{}")
+    rows = stage(docs(spark, d).select("slot", "doc_id", "text", "vector", plain.alias("metadata"), "active"), "plain")
+    write_sv(rows, path)
+    read = read_sv(spark, path).withColumn("metadata", F.to_json(F.parse_json("metadata")))
+    return _compared(rows, read)
+
+
+def _folder(spark) -> str:
+    at = f"{shared_dir(spark).removeprefix('file://')}/stage"
+    os.makedirs(at, exist_ok=True)
+    return at
+
+
+def _compared(written: DataFrame, rows: DataFrame) -> DataFrame:
+    written, read = written.alias("w"), rows.alias("r")
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) for c in DOCS.names]
     wrong = written.join(read, F.col("w.slot") == F.col("r.slot"), "full").filter(~reduce(and_, same)).count()
     if wrong:
@@ -513,7 +573,7 @@ def queries() -> dict[str, Query]:
         "knn_embeddings": knn_embeddings,
         "knn_l2": partial(_knn, metric="l2"),
         "knn_cosine_masked": lambda s, d: _knn(s, d, mask=compile_filters({"lang": {"$in": LANGS}}, parsed(F.col("metadata")))),
-        "knn_k_exceeds_n": partial(_knn, k=1_000_000, coll="weather"),
+        "knn_k_exceeds_n": partial(_knn, k=1_000_000_000),
         "knn_zero_vector": partial(_knn, zero=True),
         "knn_batch_cosine": _batch,
         "knn_batch_l2": partial(_batch, metric="l2"),
@@ -549,7 +609,7 @@ def queries() -> dict[str, Query]:
         **{f.__name__: f for f in (add_absent, update_rows, upsert, soft_delete, compact_renumber, wal_replay, wal_replay_revive, collection_info, get_by_id, list_active, list_records, log_lines, log_windows)},
         "ivf_search": partial(_cells, nprobe=10),
         "ivf_nprobe_all": partial(_cells, nprobe=16),
-        **{f.__name__: f for f in (ivf_search_batch, lsh_search, ann_recall, embed_hash_udf, snapshot_roundtrip)},
+        **{f.__name__: f for f in (ivf_search_batch, graph_search, graph_search_batch, graph_masked_few, graph_recall, lsh_search, ann_recall, embed_hash_udf, snapshot_roundtrip, sv_roundtrip)},
     }
     return out
 
@@ -565,13 +625,14 @@ def oracle_sql() -> dict[str, str]:
         "knn_cosine": _knn_sql(_COS, "DESC"),
         "knn_l2": _knn_sql(_L2, "ASC"),
         "knn_cosine_masked": _knn_sql(_COS, "DESC", filter_sql(FILTERS["filter_in"])),
-        "knn_k_exceeds_n": _knn_sql(_COS, "DESC", "coll_name = 'weather'", 1_000_000),
+        "knn_k_exceeds_n": _knn_sql(_COS, "DESC", k=1_000_000_000),
         "knn_zero_vector": _knn_sql(_COS, "DESC", vector=zero),
         "ivf_nprobe_all": _knn_sql(_COS, "DESC"),
         "knn_batch_cosine": _batch_sql(_COS, "DESC"),
         "knn_batch_native": _batch_sql(_COS, "DESC"),
         "knn_batch_l2": _batch_sql(_L2, "ASC"),
         "knn_batch_filtered": _batch_sql(_COS, "DESC", filter_sql(FILTERS["filter_range"])),
+        "graph_masked_few": _batch_sql(_COS, "DESC", filter_sql(FILTERS["filter_range"])),
         **{n: f"SELECT {'count(*) AS n, sum(slot) AS slots' if n in ('filter_missing_key', 'filter_in_no_list', 'filter_type_mismatch') else 'slot, doc_id'} FROM meta WHERE active AND {filter_sql(f)}" for n, f in FILTERS.items()},
         "bm25_allowlist": _bm25_sql(where=f"slot IN (SELECT slot FROM meta WHERE active AND {filter_sql(FILTERS['filter_ne'])})"),
         "hybrid_rrf": _hybrid_sql(0.5),
@@ -607,7 +668,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'sparse', slot, rank FROM sparse WHERE rank <= {depth}""",
         "chunk_chars": f"WITH {_chunk_sql('documents', 'doc_id', '500', '50')} SELECT doc_id, chunk_index, chunk FROM c",
         "chunk_chars_no_overlap": f"WITH {_chunk_sql('documents', 'doc_id', '300', '0')} SELECT doc_id, chunk_index, chunk FROM c",
-        "chunk_separator": _packed_sql("documents", "doc_id", "500", "50", "chr(10)"),
+        "chunk_separator": f"WITH {_packed_sql('documents', 'doc_id', '500', '50', 'chr(10)')} SELECT * FROM p",
+        "chunk_by_spec": f"""
+            WITH own AS (SELECT slot, text, chunk_size AS size, overlap, separator FROM snapshot_docs JOIN chunk_specs USING (coll_name)),
+            windows AS (SELECT * FROM own WHERE coalesce(separator, '') = ''), packs AS (SELECT * FROM own WHERE separator <> ''),
+            {_chunk_sql('windows', 'slot', 'size', 'overlap')},
+            {_packed_sql('packs', 'slot', 'size', 'overlap', 'separator')}
+            SELECT slot, chunk_index, chunk FROM c UNION ALL SELECT * FROM p""",
         "chunk_doc_ids_meta": f"""
             WITH {_chunk_sql('snapshot_docs', 'slot', '120', '20')}
             SELECT doc_id || '_chunk_' || chunk_index AS doc_id, doc_id AS source_doc, chunk_index, total_chunks, chunk AS text,
@@ -634,6 +701,7 @@ def oracle_sql() -> dict[str, str]:
         "soft_delete": f"WITH {_LOG} SELECT slot, doc_id, active AND doc_id NOT IN (SELECT doc_id FROM log WHERE op = 'delete') AS active FROM snapshot_docs",
         "compact_renumber": f"SELECT row_number() OVER (ORDER BY slot) - 1 AS slot, doc_id FROM {text}",
         "wal_replay": _replay_sql(),
+        "wal_replay_revive": _revive_sql(),
         "collection_info": "SELECT count(*) AS total_count, count(*) FILTER (active) AS active_count, count(*) FILTER (NOT active) AS deleted_count, max(len(vector)) AS dimension FROM snapshot_docs",
         "get_by_id": "SELECT slot, doc_id, text FROM snapshot_docs WHERE doc_id = 'status_board' AND active",
         "list_active": f"SELECT slot, doc_id FROM {text}",
@@ -642,5 +710,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT line_no AS seq, j ->> 'op' AS op, j ->> 'doc_id' AS doc_id, j ->> 'text' AS text, CASE WHEN json_type(j, '$.vector') = 'ARRAY' THEN json_array_length(j, '$.vector') END::BIGINT AS dim
             FROM j WHERE (j ->> 'op') IS NOT NULL AND (j ->> 'doc_id') IS NOT NULL""",
         "log_windows": "SELECT strftime(logged_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, lower(op) AS op, count(*) AS n FROM wal_entries WHERE logged_at IS NOT NULL GROUP BY ALL",
+        "sv_roundtrip": "SELECT slot, doc_id, text, active, len(vector) AS dim FROM snapshot_docs",
         "snapshot_roundtrip": "SELECT slot, doc_id, text, active, len(vector) AS dim FROM snapshot_docs",
     }

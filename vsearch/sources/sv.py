@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -17,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vsearch.runtime import ship
+from vsearch.runtime import ship, stage
 from vsearch.types import DOCS, StoreError
 
 # Fixed values of the format.
@@ -35,9 +37,8 @@ class Header:
     count: int
 
 
-# the fields lie at bytes 0, 4, 8, 12 and 16
 def pack_header(h: Header) -> bytes:
-    return struct.pack("<4sI", MAGIC, BYTE_ORDER) + struct.pack("<HxxII", VERSION, h.dimension, h.count).ljust(HEADER_BYTES - 8, b"\0")
+    return _FIELDS.pack(MAGIC, BYTE_ORDER, VERSION, h.dimension, h.count).ljust(HEADER_BYTES, b"\0")
 
 
 def unpack_header(raw: bytes) -> Header:
@@ -113,16 +114,38 @@ def read_sv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sv(docs: DataFrame, path: str, dimension: int | None = None) -> None:
-    """Write a collection as one local file; meant for export, as a single file takes a single writer. The file appears whole or not at all."""
-    rows = docs.select(*DOCS.names).orderBy("slot").toPandas()
+    """Write a collection as one local file; meant for export, as a single file takes a single writer. The file appears whole or not at all.
+
+    Rows come to the driver a partition at a time, in the order of slots: the
+    vectors go to a second file while the records are written, then behind them.
+    """
+    rows = stage(docs.select(*DOCS.names), "export").orderBy("slot")
+    count = rows.count()
     if dimension is None:
-        if not len(rows):
+        if not count:
             raise StoreError("an empty collection needs a dimension")
-        dimension = len(rows["vector"].iloc[0])
+        dimension = rows.select(F.size("vector")).first()[0]
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
-        f.write(encode(rows, dimension))
+    active = np.fromiter((r[0] for r in rows.select("active").toLocalIterator()), bool, count)
+    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f, tempfile.TemporaryFile(dir=folder) as vectors:
+        f.write(pack_header(Header(dimension, count)) + pack_bitmap(active))
+        at = f.tell()
+        f.write(struct.pack("<I", 0) + b"[")
+        for n, r in enumerate(rows.toLocalIterator()):
+            if r["vector"] is None or len(r["vector"]) != dimension:
+                raise StoreError(f"the vector of {r['doc_id']!r} isn't of {dimension} elements")
+            record = {"doc_id": r["doc_id"], "text": r["text"], "metadata": json.loads(r["metadata"]) if r["metadata"] else {}}
+            f.write((", " if n else "").encode() + json.dumps(record, ensure_ascii=False).encode("utf-8"))
+            vectors.write(np.asarray(r["vector"], "<f4").tobytes())
+        f.write(b"]")
+        length = f.tell() - at - 4
+        if length >= 1 << 32:
+            raise StoreError("the records are too many for this format, whose length has 32 bits")
+        vectors.seek(0)
+        shutil.copyfileobj(vectors, f, 1 << 20)
+        f.seek(at)
+        f.write(struct.pack("<I", length))
         f.flush()
         os.fsync(f.fileno())
     os.replace(f.name, path)

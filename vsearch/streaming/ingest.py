@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vsearch.operators import mutate
-from vsearch.sources.log import parsed_line
+from vsearch.sources.log import log_lines, numbered, parse_lines
 from vsearch.store import Store
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Entries of the log files that arrive in ``path``, in the order of (file number, line); unreadable lines are left out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
-    rows = lines.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "line"))
-    number = F.coalesce(F.try_to_number(F.regexp_extract("_file", r"(\d+)[^/\d]*$", 1), F.lit("9" * 18)).cast("long"), F.lit(0))
-    return rows.select((number * (1 << 24) + F.col("_at")).alias("seq"), parsed_line(F.col("line")).alias("e")).filter("e IS NOT NULL").select("seq", "e.*")
+    """Lines of the log files that arrive in ``path``, with the file and block they come from. A file must be complete when it arrives."""
+    return log_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Apply a stream of log entries to ``store``, a commit a batch.
+    """Apply a stream of log lines to ``store``, a commit a batch, in the order of (number in the file's name, line); unreadable lines are left out.
 
     The pointer remembers the last batch, so one that is run again after a
     failure changes nothing.
@@ -28,7 +25,8 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, once: bool = True)
 
     def apply(batch: DataFrame, number: int) -> None:
         if number > store.meta().batch:
-            store.commit(mutate.replay(store.load(), batch, revive=True), batch=number, truncate=False)
+            entries = parse_lines(numbered(batch))
+            store.commit(mutate.replay(store.load(), entries, revive=True), batch=number, truncate=False)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
