@@ -370,7 +370,7 @@ def _packed_sql(rows: str, key: str, size: str, overlap: str, sep: str) -> str:
                 CASE WHEN a.c = '' THEN {{'o': a.o, 'c': x.c}}
                      WHEN length({joined}) <= z_ THEN {{'o': a.o, 'c': {joined}}}
                      ELSE {{'o': list_append(a.o, a.c), 'c': CASE WHEN o_ > 0 THEN right(a.c, o_) || p_ || x.c ELSE x.c END}} END, {{'o': []::VARCHAR[], 'c': ''}}) AS r FROM t),
-        l AS (SELECT {key}, CASE WHEN length(text) <= z_ THEN [text] WHEN r.c = '' THEN r.o ELSE list_append(r.o, r.c) END AS l FROM f)
+        l AS (SELECT {key}, CASE WHEN length(text) <= z_ THEN [text] WHEN r.c = '' THEN r.o ELSE list_append(r.o, r.c) END AS l FROM f),
         p AS (SELECT {key}, i - 1 AS chunk_index, l[i] AS chunk FROM l, unnest(range(1, len(l) + 1)) u(i))"""
 
 
@@ -573,7 +573,7 @@ def queries() -> dict[str, Query]:
         "knn_embeddings": knn_embeddings,
         "knn_l2": partial(_knn, metric="l2"),
         "knn_cosine_masked": lambda s, d: _knn(s, d, mask=compile_filters({"lang": {"$in": LANGS}}, parsed(F.col("metadata")))),
-        "knn_k_exceeds_n": partial(_knn, k=1_000_000_000),
+        "knn_k_exceeds_n": partial(_knn, k=1_000_000),
         "knn_zero_vector": partial(_knn, zero=True),
         "knn_batch_cosine": _batch,
         "knn_batch_l2": partial(_batch, metric="l2"),
@@ -625,7 +625,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_cosine": _knn_sql(_COS, "DESC"),
         "knn_l2": _knn_sql(_L2, "ASC"),
         "knn_cosine_masked": _knn_sql(_COS, "DESC", filter_sql(FILTERS["filter_in"])),
-        "knn_k_exceeds_n": _knn_sql(_COS, "DESC", k=1_000_000_000),
+        "knn_k_exceeds_n": _knn_sql(_COS, "DESC", k=1_000_000),
         "knn_zero_vector": _knn_sql(_COS, "DESC", vector=zero),
         "ivf_nprobe_all": _knn_sql(_COS, "DESC"),
         "knn_batch_cosine": _batch_sql(_COS, "DESC"),
