@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from vsearch.llm import sentences as S
@@ -89,3 +91,18 @@ def test_table(spark):
     assert got == [(1, 0, 4), (1, 0, 4), (1, 1, 9), (1, 1, 9), (4, 0, 500_004)]
     assert S.sentences(df.limit(0)).count() == 0
     assert all(r["sentence"] is None for r in S.sentences(df, with_text=False).collect())
+
+
+def test_long_tokens_and_runs_of_white_space_do_not_change_the_class():
+    long, model = "x" * 200, S.fit([])
+    text = f"Siehe http://{long}.org/{long}?q={long} dort.{' ' * 300}Danach folgt {long}. {' ' * 200}Neuer Satz."
+    got = [text[a:b] for a, b in S.ends(text, model)]
+    assert got == [f"Siehe http://{long}.org/{long}?q={long} dort.", f"Danach folgt {long}.", "Neuer Satz."]
+
+
+@pytest.mark.parametrize("unit", ["a.", "a.B", "字。", "字.", "字…", "a!B", "「字」。", "a?b=", ". ", "http://a.b?c=d&", "\"a.\" ", "(a. ", "…B"])
+def test_time_is_linear_in_the_text(unit):
+    text = unit * (300_000 // len(unit))
+    start = time.perf_counter()
+    S.ends(text, S.fit([]))
+    assert time.perf_counter() - start < 40

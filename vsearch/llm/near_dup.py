@@ -1,7 +1,7 @@
 """Problem 4: near-duplicate texts by meet-in-the-middle ball hashing.
 
-A text's fingerprint is, for each of TABLES hash functions, the WIDTH smallest
-hashes of its shingle set. The distance of two fingerprints is the number of
+A text's fingerprint is, for each of a number of hash functions (``tables``),
+the WIDTH smallest hashes of its shingle set. The distance of two fingerprints is the number of
 hashes to take away from both until they agree; its ball of half the radius is
 every way to take away one. Two texts within the radius (one hash taken from
 each) thus emit a common variant, so a shuffle on variants brings them
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,13 @@ from vsearch.runtime import broadcast_if_small, stage
 SHINGLE = 3
 LEAST_TERMS = 20
 SIMILARITY = 0.6
-#: At similarity 0.6, one table lets a pair of sets of one size through with probability 0.44, fifteen with 0.9998. If one set
-#: contains the other it is 0.34 and 0.998, with 16 to 30 shingles down to 0.31 and 0.996 (simulated).
-TABLES = 15
 WIDTH = 5
+#: Of pairs at the similarity itself, of which one set contains the other, so many may meet in no table; of others it is fewer.
+#: At 0.6 this takes fifteen tables: one lets such a pair through with probability 0.34, all with 0.998 (with 16 to 30
+#: shingles down to 0.31 and 0.996, simulated); sets of one size with 0.44 and 0.9998.
+MISSED = 1 / 400
 #: Two sets of at most so many shingles meet for certain.
 SMALL_SET = 15
-#: Most differing bits of two 128-bit similarity hashes; pairs at 0.6 differ in 29 on average with a deviation of 4.8, unrelated ones in 63.
-#: Pairs beyond it aren't verified: at 0.6 about 3 in 100,000 of the true ones, by the normal distribution.
-MOST_BITS = 48
 #: A variant that more texts share is joined in blocks of about so many, each a task's share.
 BLOCK_TEXTS = 2_000
 #: Exact copies of one text, if more than this, are linked through their first one only.
@@ -46,7 +45,17 @@ EXPAND = 20
 
 _U = np.uint64
 _LEAST = _U(0xC2B2AE3D27D4EB4F)
-_SEEDS = (np.arange(1, TABLES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
+
+@lru_cache(maxsize=8)
+def tables(similarity: float) -> int:
+    """How many it takes for MISSED. Of a set's WIDTH least hashes, all but one at most must be in a subset of it."""
+    meet = similarity ** (WIDTH - 1) * (WIDTH - (WIDTH - 1) * similarity)
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-meet))) if meet < 1 else 1
+
+
+@lru_cache(maxsize=8)
+def _seeds(n: int) -> np.ndarray:
+    return (np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,43 +91,36 @@ def shingle_hashes(texts: list[str], hashes: dict, width: int = SHINGLE, least:
 
 
 def variants(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Keys of all fingerprint variants of a shingle set, at most TABLES * (WIDTH + 1), and of the least shingles of a small one."""
+    """Keys of all fingerprint variants of a shingle set, at most WIDTH + 1 a table, and of the least shingles of a small one."""
     n = len(shingles)
     m = min(WIDTH, n)
-    low = _mix(shingles[None, :] ^ _SEEDS)
+    seeds = _seeds(tables(similarity))
+    low = _mix(shingles[None, :] ^ seeds)
     if n > m:
         low = np.partition(low, m - 1, axis=1)[:, :m]
     total = low.sum(axis=1, keepdims=True, dtype=_U)
-    keys = [_mix(total - low + _SEEDS)] if m > 1 else []
+    keys = [_mix(total - low + seeds)] if m > 1 else []
     if m < WIDTH:  # the whole set may equal a larger fingerprint's variant
-        keys.append(_mix(total + _SEEDS))
+        keys.append(_mix(total + seeds))
     if n <= SMALL_SET:  # at least similarity * n are shared, so the least shared one is among these
         keys.append(_mix(np.sort(shingles)[None, : n - math.ceil(similarity * n - 1e-9) + 1] ^ _LEAST))
     return np.unique(np.concatenate([k.ravel() for k in keys]))
 
 
-def _bits(shingles: np.ndarray) -> np.ndarray:
-    """128-bit similarity hash, as two integers."""
-    planes = np.stack([shingles, _mix(shingles + _U(1))], axis=1)
-    ones = np.unpackbits(planes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles)).view(np.int64)
-
-
-_SKETCH = "id long, text_hash binary, set_hash binary, n int, s0 long, s1 long, keys array<long>"
+_SKETCH = "id long, text_hash binary, set_hash binary, n int, keys array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(5)]
         texts = batch.column(1).to_pylist()
         for i, text, sh in zip(batch.column(0).to_pylist(), texts, shingle_hashes(texts, hashes, width, least)):
             if sh is not None:
-                s0, s1 = _bits(sh)
-                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(text), xxhash.xxh3_128_digest(sh.tobytes()), len(sh), s0, s1, variants(sh, similarity).view(np.int64))):
+                for c, v in zip(rows, (i, xxhash.xxh3_128_digest(text), xxhash.xxh3_128_digest(sh.tobytes()), len(sh), variants(sh, similarity).view(np.int64))):
                     c.append(v)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "text_hash", "set_hash", "n", "s0", "s1", "keys"])
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["id", "text_hash", "set_hash", "n", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 
 def _colliding(left: DataFrame, right: DataFrame | None, similarity: float) -> DataFrame:
-    """(a, b), a < b, of texts that share a variant and whose sizes and similarity hashes allow the similarity."""
+    """(a, b), a < b, of texts that share a variant and whose sizes allow the similarity."""
     a, b = left.alias("a"), (left if right is None else right).alias("b")
     close = (
         (F.col("a.key") == F.col("b.key"))
@@ -150,7 +152,6 @@ def _colliding(left: DataFrame, right: DataFrame | None, similarity: float) -> D
         & (F.col("a.id") < F.col("b.id"))
         & (F.col("a.n") >= F.col("b.n") * similarity - 1e-9)
         & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9)
-        & (F.expr("bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)") <= MOST_BITS)
     )
     return a.join(b.hint("merge"), close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
@@ -175,11 +176,11 @@ def near_duplicates(
         F.col("id").isNotNull() & (F.length("text") >= 2 * least_terms - 1)
     )
     sketches = stage(rows.mapInArrow(lambda it: _sketch(it, width, least_terms, similarity), _SKETCH), "sketches")
-    reps = stage(sketches.groupBy("set_hash").agg(F.min(F.struct("id", "n", "s0", "s1", "keys")).alias("r")).select("set_hash", "r.*"), "reps")
+    reps = stage(sketches.groupBy("set_hash").agg(F.min(F.struct("id", "n", "keys")).alias("r")).select("set_hash", "r.*"), "reps")
     members = sketches.groupBy("id", "set_hash").agg(F.min("text_hash").alias("text_hash"))
     classes = members.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep", "text_hash")
 
-    balls = reps.select("id", "n", "s0", "s1", F.explode("keys").alias("key"))
+    balls = reps.select("id", "n", F.explode("keys").alias("key"))
     counts = balls.groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > BLOCK_TEXTS)
     hot = stage(counts.select("key", F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("blocks")), "hot-variants")
     if hot.isEmpty():

@@ -15,6 +15,7 @@ model's probability of "ends a paragraph" is c times that of "is a boundary"
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,10 +51,12 @@ _EMOJI = "[\U0001f000-\U0001faff☀-➿⬀-⯿\ufe0f\u200d]"
 _CANDIDATE = re.compile(
     rf"[{re.escape(MARKS)}]+(?:[ \xa0\u202f]?»|[\"'”’“)\]」』）】》])*(?:[ \n\xa0]?{_EMOJI}+)?|(?<=[ก-๛])[ \u00a0]+(?=[ก-๛])"
 )
-_BEFORE = re.compile(r"[^\s\"“”„«»「」『』()\[\]（）【】¿¡]*\Z")
 _AFTER = re.compile(r"\s*([\"“„«「『(\[（【¿¡']*)\s*(\w+|\S|\Z)")
-_ADDRESS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[!-~]*\Z")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
+_ADDRESS = re.compile(r"(?:(?<=[A-Za-z0-9+.-])://|www\.)[!-~]*")
+_WIDE_CHARS = "぀-ヿ㐀-鿿豈-﫿가-힯"
+_WIDE = re.compile(f"[{_WIDE_CHARS}]")
+#: What a token can't hold, so that no two tokens before candidates have text in common and whole ones can be looked at.
+_BREAK = re.compile(rf"[\s\"“”„«»「」『』()\[\]（）【】¿¡!?…。！？．｡؟۔।॥]|(?<=[{_WIDE_CHARS}])\.|\.(?=[{_WIDE_CHARS}])")
 
 
 def _script(ch: str) -> str:
@@ -85,16 +88,19 @@ def _brackets(p: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     straight = [i for i, c in enumerate(p) if c == '"'] if '"' in p else []
     out.extend((a, b) for a, b in zip(straight[::2], straight[1::2]))
+    waiting: Counter[str] = Counter()  # closing marks of those on the stack
     for m in re.finditer(r"[“”„«»「」『』()\[\]（）【】《》]", p):
         c, i = m.group(), m.start()
-        for k in range(len(stack) - 1, -1, -1):
-            if c in stack[k][1]:
-                out.append((stack[k][0], i))
-                del stack[k:]
-                break
-        else:
-            if c in OPENERS:
-                stack.append((i, OPENERS[c]))
+        if waiting[c]:
+            while True:  # those left open inside are dropped
+                o, closing = stack.pop()
+                waiting.subtract(closing)
+                if c in closing:
+                    out.append((o, i))
+                    break
+        elif c in OPENERS:
+            stack.append((i, OPENERS[c]))
+            waiting.update(OPENERS[c])
     return sorted(out)
 
 
@@ -108,9 +114,12 @@ class Candidate:
 
 
 def candidates(p: str, following: str) -> list[Candidate]:
-    """Of a stripped paragraph; ``following`` is the begin of the next one. Its own end comes last, with the features it would have inside."""
+    """Of a stripped paragraph; ``following`` is the next one. Its own end comes last, with the features it would have inside."""
     out: list[Candidate] = []
     pairs = _brackets(p)
+    opening = {c: o for o, c in pairs}
+    breaks = [m.end() for m in _BREAK.finditer(p)]
+    addresses = [m.span() for m in _ADDRESS.finditer(p)]
     k, reach = 0, -1  # the furthest closing of the pairs that open before the candidate
     opened = -1
     n = len(p)
@@ -132,9 +141,9 @@ def candidates(p: str, following: str) -> list[Candidate]:
         e = a + marks
         while e < b and (p[e] in CLOSERS or p[e] in " \u00a0\u202f"):
             # an opening quote isn't the sentence's
-            if p[e] == "“" and not any(o < a and c == e for o, c in pairs):
+            if p[e] == "“" and opening.get(e, a) >= a:
                 break
-            if p[e] == '"' and not any(c == e for _, c in pairs):
+            if p[e] == '"' and e not in opening:
                 break
             if p[e] == "'" and p[e + 1 : e + 2].isalpha():
                 break
@@ -151,10 +160,11 @@ def candidates(p: str, following: str) -> list[Candidate]:
         if reach >= e:
             continue  # inside something that closes later
         last = e >= n
-        before = _BEFORE.search(p, max(0, a - 40), a).group()
-        rest = following if last else p[e:]
-        nxt = _AFTER.match(rest[:80])
-        spaced = last or rest[:1].isspace()
+        k_break = bisect_right(breaks, a)
+        token = breaks[k_break - 1] if k_break else 0
+        rest, r = (following, 0) if last else (p, e)
+        nxt = _AFTER.match(rest, r)
+        spaced = last or rest[r : r + 1].isspace()
         quote, tok = nxt.group(1), nxt.group(2)
         kind = _kind(tok)
         mark = "…" if marks > 1 and set(p[a : a + marks]) == {"."} else p[a + marks - 1]
@@ -163,17 +173,20 @@ def candidates(p: str, following: str) -> list[Candidate]:
             sure = True
         elif kind == "sign" and not quote and tok in ",;:%/*+=-–—_)]}，、；：" and not closers.endswith("\x00"):
             sure = False
-        elif mark in ".．" and not spaced and not closers and not _WIDE.match(rest):
+        elif mark in ".．" and not spaced and not closers and not _WIDE.match(rest, r):
             # no space: only between a word and a capital
-            plain = len(before) > 2 and before.isalpha() and before[1:].islower() or not before and p[a - 1 : a] in ("»", ")", "]", "”")
+            dotted = p.rfind(".", token, a) >= 0  # of a chain of dots, only the last token is looked at
+            plain = not dotted and (a - token > 2 and p[token:a].isalpha() and p[token + 1 : a].islower() or token == a and p[a - 1 : a] in ("»", ")", "]", "”"))
             if not (plain and (kind == "upper" or quote)):
                 sure = False
-        elif mark in "!?" and not spaced and not closers and before and (not quote or rest[0] == "'") and not _WIDE.match(rest):
+        elif mark in "!?" and not spaced and not closers and token < a and (not quote or rest[r] == "'") and not _WIDE.match(rest, r):
             # inside a name or address; the space may be missing before a capital
-            if kind in ("lower", "digit") or _ADDRESS.search(p[max(p.rfind(c, 0, a) for c in " \n\t") + 1 : a]):
+            at = bisect_right(addresses, (a, n)) - 1
+            if kind in ("lower", "digit") or at >= 0 and a < addresses[at][1]:
                 sure = False
         features: tuple[str, ...] = ()
         if sure is not False:
+            before = p[token:a]
             low = before.lower()
             word = tok.lower() if not _WIDE.match(tok) else tok[0]
             length = min(len(low), 6)
@@ -265,7 +278,7 @@ def ends(text: str, model: Model) -> list[tuple[int, int]]:
     out = []
     ps = paragraphs(text)
     for i, (at, p) in enumerate(ps):
-        following = ps[i + 1][1][:80] if i + 1 < len(ps) else ""
+        following = ps[i + 1][1] if i + 1 < len(ps) else ""
         start = 0
         for c in candidates(p, following):
             if c.sure or model.boundary(c.features):
@@ -283,7 +296,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ps = paragraphs(text)
             for k, (at, p) in enumerate(ps):
-                following = ps[k + 1][1][:80] if k + 1 < len(ps) else ""
+                following = ps[k + 1][1] if k + 1 < len(ps) else ""
                 for c in candidates(p, following):
                     if c.features and (following or c.end < len(p)):
                         ids.append(i)

@@ -9,7 +9,7 @@ their neighbours, level by level, as long as they fit.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +60,7 @@ class _Packer:
 
     def _section_cuts(self, s: int, e: int) -> list[int]:
         """Starts of the topmost sections strictly inside (s, e)."""
-        inner = [h for h in self.headings[bisect_right(self.at, s):] if h[0] < e and not self._inside_fence(h[0])]
+        inner = [h for h in self.headings[bisect_right(self.at, s) : bisect_left(self.at, e)] if not self._inside_fence(h[0])]
         top = min((r for _, r in inner), default=0)
         return [p for p, r in inner if r == top]
 
