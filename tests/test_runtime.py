@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vsearch.runtime import broadcast_if_small, small
+from vsearch.runtime import broadcast_if_small, partitions, small
 
 
 def test_small_counts_rows_and_bytes(spark):
@@ -15,3 +15,8 @@ def test_hint_follows_size(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(a.join(broadcast_if_small(b, 10), "id"))
     assert "broadcast" not in plan(a.join(broadcast_if_small(b, 9), "id"))
+
+
+def test_partitions_follow_the_input(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions(spark, 0) == partitions(spark, 1 << 20) == least and partitions(spark, 64 << 30) == 1024

@@ -92,6 +92,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: in
     return F.broadcast(df) if small(df, rows, most_bytes) else df
 
 
+#: Bytes that a task of a shuffle shall read, about.
+TASK_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession, total_bytes: int) -> int:
+    """How many tasks a shuffle of so many bytes takes: the session's number, or more where these would be too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // TASK_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the Python workers, unless it is installed or on their path."""
     here = os.path.dirname(os.path.abspath(__file__))
