@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vsearch.llm.components import components
 from vsearch.llm.entries import TERM, entry_texts
-from vsearch.runtime import broadcast_if_small, stage
+from vsearch.runtime import broadcast_if_small, partitions, stage
 
 SHINGLE = 3
 LEAST_TERMS = 20
@@ -38,6 +38,8 @@ WIDTH = 5
 MISSED = 1 / 400
 #: Two sets of at most so many shingles meet for certain.
 SMALL_SET = 15
+#: Of a variant in a shuffle, about.
+KEY_BYTES = 40
 #: A variant that more texts share is joined in blocks of about so many, each a task's share.
 BLOCK_TEXTS = 2_000
 #: Exact copies of one text, if more than this, are linked through their first one only.
@@ -180,7 +182,8 @@ def near_duplicates(
     members = sketches.groupBy("id", "set_hash").agg(F.min("text_hash").alias("text_hash"))
     classes = members.join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep", "text_hash")
 
-    balls = reps.select("id", "n", F.explode("keys").alias("key"))
+    n_keys = reps.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    balls = reps.select("id", "n", F.explode("keys").alias("key")).repartition(partitions(df.sparkSession, n_keys * KEY_BYTES), "key")
     counts = balls.groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > BLOCK_TEXTS)
     hot = stage(counts.select("key", F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("blocks")), "hot-variants")
     if hot.isEmpty():

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vsearch.llm.entries import TERM_PATTERN, entry_texts
-from vsearch.runtime import stage
+from vsearch.runtime import partitions, stage
 
 #: Terms in at least 1/HEAVY of all postings get their counts by broadcast. There can't be more than HEAVY of them, at any size.
 HEAVY = 4096
+#: Of a posting in a shuffle, about.
+POSTING_BYTES = 80
 RECORD_WEIGHT = 0.1
 TOLERANCE = 1e-7
 ROUNDS = 200
@@ -90,11 +92,12 @@ def term_scores(df: DataFrame, id_col: str = "seq", text_col: str = "text", weig
     n_post, total = counts.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("cf"), F.lit(0))).first()
     least = n_post / HEAVY
     heavy = F.broadcast(counts.filter(F.col("df") >= least))
-    rare = counts.filter(F.col("df") < least)
-    known = post.join(heavy, "term").unionByName(post.join(heavy, "term", "left_anti").join(rare.hint("merge"), "term"))
+    tasks = partitions(df.sparkSession, n_post * POSTING_BYTES)
+    rare = counts.filter(F.col("df") < least).repartition(tasks, "term")
+    known = post.join(heavy, "term").unionByName(post.join(heavy, "term", "left_anti").repartition(tasks, "term").join(rare.hint("merge"), "term"))
     rows = (
         known.select("id", "term", "tf", "df", "cf", (F.col("cf") / F.lit(float(max(total, 1)))).alias("background"))
-        .repartition("id")
+        .repartition(tasks, "id")
         .sortWithinPartitions("id")
     )
     return rows.mapInArrow(lambda it: _score(it, weight), "id long, term string, tf int, df long, cf long, score double")
