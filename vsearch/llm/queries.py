@@ -27,6 +27,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(splitting.with_specs(texts, table(spark, d, "chunk_specs"))).withColumnRenamed("id", "seq")
 
 
+def p1_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together from its pieces without what they repeat; whether none is too long, and each after the first repeats the overlap."""
+    texts = splitting.with_specs(entry_texts(table(spark, d, "wal_entries"), keep=("coll_name",)), table(spark, d, "chunk_specs"))
+    pieces = splitting.split_oversized(texts)
+    part = F.struct("piece_no", F.expr("substring(piece, overlap_len + 1)").alias("fresh"))
+    whole = pieces.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.length("piece")).alias("longest"), F.max("overlap_len").alias("most"), F.min(F.when(F.col("piece_no") > 0, F.col("overlap_len"))).alias("least"))
+    fits = (F.col("longest") <= F.col("chunk_size")) & (F.col("most") == F.col("overlap")) & (F.col("least") == F.col("overlap"))
+    return whole.join(texts.select("id", "chunk_size", "overlap"), "id").select(F.col("id").alias("seq"), F.concat_ws("", F.transform("parts", lambda x: x["fresh"])).alias("text"), fits.alias("fits"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     scored = salience.term_scores(table(spark, d, "wal_entries"))
     return scored.filter("tf >= 3 AND df BETWEEN 2 AND 6").select(F.col("id").alias("seq"), "term")
@@ -84,6 +94,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What the report says of each target, and whether its source is repeated no more than it may be."""
+    report = p7_report(spark, d)
+    kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("actual_tokens") <= F.col("source_tokens") * F.col("max_repeats"))
+    return report.select("plan_id", "source", F.round("target_share", 9).alias("target_share"), F.round("target_tokens", 3).alias("target_tokens"), kept.alias("kept"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"), with_text=False).select(F.col("id").alias("doc_id"), "end_pos")
 
@@ -107,6 +124,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT seq, CASE WHEN list_max(list_transform(string_split_regex(text, '[ \\t\\n\\x{{00A0}}\\x{{3000}}。！？]'), lambda x: length(x))) > chunk_size
                         THEN 'forced' ELSE 'natural' END AS cut_kind
             FROM big""",
+        "p1_tiles": f"WITH {_ENTRIES} SELECT seq, text, true AS fits FROM entries JOIN chunk_specs USING (coll_name) WHERE length(text) > chunk_size",
+        "p7_targets": """
+            WITH t AS (SELECT plan_id, lower(trim(source)) AS source, sum(greatest(coalesce(target_weight, 0), 0)) AS w, max(total_tokens) AS total FROM mix_targets GROUP BY ALL),
+            s AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY plan_id) > 0 THEN w / sum(w) OVER (PARTITION BY plan_id) ELSE 0 END AS share FROM t)
+            SELECT plan_id, source, round(share, 9) AS target_share, round(share * total, 3) AS target_tokens, true AS kept FROM s""",
         "p2_found": f"""
             WITH {_ENTRIES},
             tok AS (SELECT seq, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM entries),
