@@ -47,7 +47,7 @@ def p2_term_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, least=0.90, recall=0.99)
+    near = vector_graph.similar_vectors(table(spark, d, "wal_entries"), k=5, least=0.90, recall=0.99, beam=32)
     return near.select(F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
 
 
