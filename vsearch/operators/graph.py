@@ -269,46 +269,53 @@ def build_graph(
     return GraphIndex(stage(made, "graph"), metric, dim, shards, version)
 
 
-def _answer(body: bytes, q: np.ndarray, k: int, ef: int, metric: str, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, exact scores to be maximised) of a shard's best for each query; slots of -inf are none."""
+def _exactly(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores to be maximised of each query's own rows (b, w, d), in doubles."""
+    x = x.astype(np.float64)
+    if metric == "l2":
+        return -np.sqrt(((x - q[:, None, :]) ** 2).sum(axis=2))
+    lengths = np.linalg.norm(x, axis=2) * np.linalg.norm(q, axis=1)[:, None]
+    return np.divide(np.einsum("bwd,bd->bw", x, q), lengths, out=np.zeros(lengths.shape), where=lengths != 0)
+
+
+def _offer(best: TopK, at: np.ndarray, body: bytes, q: np.ndarray, k: int, ef: int, metric: str, allowed: np.ndarray | None = None) -> None:
+    """Offer a shard's best for the queries ``at`` of ``q``, with exact scores."""
     slots, x, graph = pickle.loads(body)
     if graph is None:
-        return np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-    asked = _metric_of(q, metric)[0]
-    exact = None
-    if allowed is not None:
-        fits = np.isin(slots, allowed)
-        if fits.mean() < EXACT_SHARE or fits.sum() <= k:
-            exact = np.flatnonzero(fits)
-            found = np.broadcast_to(exact, (len(q), len(exact)))
-        else:
-            ef = int(np.ceil(ef / fits.mean()))
-    if exact is None:
-        found, _ = graph.search(asked, min(max(ef, 2 * k), graph.n))
-        if allowed is not None:
-            found = np.where(np.append(fits, False)[found], found, graph.n)
-            short = (found != graph.n).sum(axis=1) < min(k, int(fits.sum()))
-            if short.any():  # too few survive the mask: all that it leaves
-                exact = np.flatnonzero(fits)
-                wide = np.full((len(q), max(found.shape[1], len(exact))), graph.n, found.dtype)
-                wide[:, : found.shape[1]] = found
-                wide[short, : len(exact)], wide[short, len(exact) :] = exact, graph.n
-                found = wide
-    scores = np.full(found.shape, -np.inf)
-    for i, row in enumerate(found):
-        real = row != graph.n
-        if real.any():
-            scores[i, real] = scored(q[i : i + 1].astype(np.float64), x[row[real]].astype(np.float64), metric)[0]
-    return np.append(slots, np.iinfo(np.int64).max)[found], scores
+        return
+    exact = at[:0]
+    fits = None if allowed is None else np.isin(slots, allowed)
+    few = fits is not None and (fits.mean() < EXACT_SHARE or fits.sum() <= k)
+    if few:
+        exact = at
+    else:
+        wide = max(ef, 2 * k) if fits is None else int(np.ceil(max(ef, 2 * k) / fits.mean()))
+        for a in range(0, len(at), BLOCK):
+            some = at[a : a + BLOCK]
+            found, _ = graph.search(_metric_of(q[some], metric)[0], min(wide, graph.n))
+            if fits is not None:
+                found = np.where(np.append(fits, False)[found], found, graph.n)
+                found = np.take_along_axis(found, np.argsort(found == graph.n, axis=1, kind="stable"), 1)
+                exact = np.append(exact, some[(found != graph.n).sum(axis=1) < min(k, int(fits.sum()))])
+            found = found[:, : 2 * k + 16]  # the graph's scores are exact but for rounding
+            scores = _exactly(q[some], np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])[found], metric)
+            best.offer(some, np.append(slots, np.iinfo(np.int64).max)[found], np.where(found == graph.n, -np.inf, scores))
+    if len(exact):  # little is left by the mask, or too few of a beam: all that it leaves
+        left = np.flatnonzero(fits)
+        for a in range(0, len(exact), BLOCK):
+            some = exact[a : a + BLOCK]
+            scores = scored(q[some], x[left].astype(np.float64), metric)
+            if not few:
+                for i, known in enumerate(best.slots[some]):  # what the beam has offered
+                    scores[i, np.isin(slots[left], known)] = -np.inf
+            best.merge(some, slots[left], scores)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], q: np.ndarray, k: int, ef: int, metric: str) -> Iterator[pa.RecordBatch]:
-    best, everyone = TopK(len(q), k), np.arange(len(q))
+    best = TopK(len(q), k)
     for batch in batches:
-        for body in batch.column(0):
-            slots, scores = _answer(body.as_py(), q, k, ef, metric)
-            if slots.shape[1]:
-                best.offer(everyone, slots, scores)
+        for body, part, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            _offer(best, np.arange(part, len(q), parts), body, q, k, ef, metric)
     yield best.batch(metric)
 
 
@@ -316,9 +323,7 @@ def _masked(q: np.ndarray, k: int, ef: int, metric: str):
     def run(graphs: pa.Table, left: pa.Table) -> pa.Table:
         best = TopK(len(q), k)
         for body in graphs["graph"]:
-            slots, scores = _answer(body.as_py(), q, k, ef, metric, left["slot"].to_numpy())
-            if slots.shape[1]:
-                best.offer(np.arange(len(q)), slots, scores)
+            _offer(best, np.arange(len(q)), body.as_py(), q, k, ef, metric, left["slot"].to_numpy())
         return pa.Table.from_batches([best.batch(metric)])
 
     return run
@@ -350,7 +355,11 @@ def graph_search_batch(index: GraphIndex, queries: DataFrame, top_k: int = 5, ef
         q = np.array(block["v"].to_pylist(), np.float64)
         names = spark.createDataFrame(pa.table({"q": pa.array(range(len(q)), pa.int32()), "query_id": block["query_id"]}))
         if mask is None:
-            near = shards.select("graph").mapInArrow(lambda it, q=q: _ask(it, q, top_k, ef, metric), "q int, slot long, score double")
+            # few shards: each is several tasks, with a part of the queries
+            parts = max(1, min(-(-spark.sparkContext.defaultParallelism // index.shards), -(-len(q) // BLOCK)))
+            sent = shards.select("graph", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(parts).alias("parts"))
+            sent = sent.repartitionByRange(parts, "part") if parts > 1 else sent
+            near = sent.mapInArrow(lambda it, q=q: _ask(it, q, top_k, ef, metric), "q int, slot long, score double")
         else:
             near = shards.groupBy("shard").cogroup(allowed.groupBy("shard")).applyInArrow(_masked(q, top_k, ef, metric), "q int, slot long, score double")
         one = near.join(F.broadcast(names), "q").drop("q")
