@@ -7,8 +7,11 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import oracle
 import pytest
+from pyspark.sql import functions as F
 
+from vsearch.runtime import shared_dir, stage
 from vsearch.sources import sv
 from vsearch.sources.files import decode_pdf, parse_file, read_files
 from vsearch.sources.log import LogWriter, parse_lines, read_log
@@ -104,6 +107,117 @@ def test_sv_empty(spark, rows, tmp_path):
         sv.write_sv(spark.createDataFrame([], "slot long, doc_id string, text string, vector array<float>, metadata string, active boolean"), str(tmp_path / "z.sv"))
 
 
+def test_sv_keeps_slots_with_gaps(spark, rows, tmp_path):
+    rows["slot"] = [0, 1, 5, 6, 7, 1_000_003, 1_000_004, 2_000_006, 1 << 40]
+    docs = spark.createDataFrame(rows.sample(frac=1, random_state=1).assign(vector=lambda d: d["vector"].map(np.ndarray.tolist)), "slot long, doc_id string, text string, vector array<float>, metadata string, active boolean")
+    sv.write_sv(docs, str(tmp_path / "x.sv"))
+    assert (tmp_path / "x.sv").read_bytes() == sv.encode(rows, 2)
+    got = sv.read_sv(spark, str(tmp_path / "x.sv")).orderBy("slot").collect()
+    assert [(r["slot"], r["doc_id"], r["text"], r["metadata"], r["active"]) for r in got] == list(rows[["slot", "doc_id", "text", "metadata", "active"]].itertuples(index=False, name=None))
+    assert [r["vector"] for r in got] == [list(v) for v in rows["vector"]]
+
+
+def test_sv_roundtrip_of_a_table_with_gaps(spark, sf_dir, tmp_path):
+    from vsearch.queries import oracle_sql, queries
+
+    one = spark.read.parquet(f"{sf_dir}/snapshot_docs.parquet")
+    shifted = one.withColumns({"slot": one["slot"] + 1_000_003, "doc_id": F.concat("doc_id", F.lit("~1"))})
+    one.union(shifted).write.parquet(str(tmp_path / "snapshot_docs.parquet"))
+    oracle.check(spark, str(tmp_path), queries()["sv_roundtrip"], oracle_sql()["sv_roundtrip"])
+
+
+def test_sv_write_leaves_its_source_and_no_more(spark, rows, tmp_path):
+    schema = "slot long, doc_id string, text string, vector array<float>, metadata string, active boolean"
+    docs = stage(spark.createDataFrame(rows.assign(vector=lambda d: d["vector"].map(np.ndarray.tolist)), schema), "source")
+    at = f"{shared_dir(spark).removeprefix('file://')}/stage"
+    before = sorted(os.listdir(at))
+    sv.write_sv(docs, str(tmp_path / "x.sv"))
+    assert (tmp_path / "x.sv").read_bytes() == sv.encode(rows, 2) and docs.count() == 9 and sorted(os.listdir(at)) == before
+    sv.write_sv(docs.filter("false"), str(tmp_path / "y.sv"), 2)
+    assert (tmp_path / "y.sv").read_bytes() == sv.encode(rows[:0], 2)
+    with pytest.raises(StoreError):
+        sv.write_sv(docs, str(tmp_path / "z.sv"), 3)
+    assert sorted(os.listdir(tmp_path)) == ["x.sv", "y.sv"]
+
+
+@pytest.fixture
+def hard():
+    """Records whose texts and metadata look like the block around them."""
+    texts = ['}, {"doc_id": "x", "text": "', "\\", '\\"', '\\\\\\"{[', "]}]}", '"', '""', "日本 {", None, "", "a\nb\t}", "\\" * 9]
+    meta = ['{"refs": [{"doc_id": "a"}, {"doc_id": "b", "text": "{"}]}', "{}", '{"k": {"k": {"k": [[], {}, "]"]}}}', json.dumps({'"{': '\\"}'})]
+    n = 60
+    return pd.DataFrame(
+        {
+            "slot": [i + 1000 * (i > 40) for i in range(n)], "doc_id": [f'd"{{{i}\\' for i in range(n)], "text": [texts[i % 12] for i in range(n)], "vector": [np.array([i, -i, 0.5], np.float32) for i in range(n)],
+            "metadata": [meta[i // 3 % 4] for i in range(n)], "active": [i % 7 != 3 for i in range(n)],
+        }
+    )
+
+
+def serial(f, blocks):
+    return [f(b) for b in blocks]
+
+
+def plain(frame):
+    return [(r.slot, r.doc_id, r.text, list(r.vector), r.metadata, bool(r.active)) for r in frame.itertuples()]
+
+
+def test_sv_stretches_are_what_the_whole_is(hard, tmp_path):
+    raw = sv.encode(hard, 3)
+    want = plain(sv.decode(raw))
+    assert want == [(s, d, t, v, json.dumps(json.loads(m), ensure_ascii=False), a) for s, d, t, v, m, a in plain(hard)]
+    (tmp_path / "x.sv").write_bytes(raw)
+    for size in (1, 2, 3, 7, 64, 101, 1000, 1 << 20):
+        parts = sv.extents(sv.layout(str(tmp_path / "x.sv")), size, serial)
+        assert len(parts) == 60 if size < 8 else len(parts) <= 60 and (size < 1000 or len(parts) < 12)
+        assert plain(pd.concat([b.to_pandas() for p in parts for b in sv.rows_of(p)])) == want
+
+
+@pytest.mark.parametrize("records", [b"[]", b" [ \n]", b"[ ]"])
+def test_sv_stretches_of_no_rows(records, tmp_path):
+    (tmp_path / "x.sv").write_bytes(sv.pack_header(sv.Header(3, 0)) + len(records).to_bytes(4, "little") + records)
+    assert sv.extents(sv.layout(str(tmp_path / "x.sv")), 2, serial) == []
+
+
+@pytest.mark.parametrize(
+    "change",
+    [lambda r: b"XXXX" + r[4:], lambda r: r[:12] + b"\0\0\0\0" + r[16:], lambda r: r[:16] + b"\x3b" + r[17:], lambda r: r[:-1], lambda r: r[:80], lambda r: r[:40], lambda r: r[:70]]
+    + [lambda r, a=a, b=b: r.replace(a, b) for a, b in ((b'"text": null', b'"text"; null'), (b'}, {"doc_id": "d\\"{7', b'}; {"doc_id": "d\\"{7'), (b'[{"doc_id": "d', b'x{"doc_id": "d'), ("日本".encode(), b"\xff" * 6), (b"}]\0", b"}x\0"))],
+)
+def test_sv_stretches_reject(hard, change, tmp_path):
+    raw = sv.encode(hard, 3)
+    assert change(raw) != raw
+    (tmp_path / "x.sv").write_bytes(change(raw))
+    for size in (5, 200, 1 << 20):
+        with pytest.raises(StoreError):
+            for p in sv.extents(sv.layout(str(tmp_path / "x.sv")), size, serial):
+                list(sv.rows_of(p))
+
+
+def test_sv_file_that_changes(hard, tmp_path):
+    (tmp_path / "x.sv").write_bytes(sv.encode(hard, 3))
+    parts = sv.extents(sv.layout(str(tmp_path / "x.sv")), 200, serial)
+    (tmp_path / "x.sv").write_bytes(sv.encode(hard[:50], 3))
+    with pytest.raises(StoreError, match="changed"):
+        list(sv.rows_of(parts[0]))
+
+
+def test_sv_large_file_is_many_tasks(spark, tmp_path):
+    """One task, and so the memory for the whole file at once, isn't enough for a large one."""
+    n = 60_000
+    vectors = np.arange(n * 4, dtype=np.float32).reshape(n, 4)
+    rows = pd.DataFrame({"slot": range(n), "doc_id": [f"d{i}" for i in range(n)], "text": ['"{' * 120] * n, "vector": list(vectors), "metadata": "{}", "active": np.arange(n) % 3 > 0})
+    (tmp_path / "a large one.sv").write_bytes(sv.encode(rows, 4))
+    df = sv.read_sv(spark, str(tmp_path / "a large*.sv"))
+    assert df.rdd.getNumPartitions() > 1
+    got = df.orderBy("slot").toPandas()
+    assert np.array_equal(np.stack(got["vector"]), vectors) and all((got[c] == rows[c]).all() for c in ("slot", "doc_id", "text", "metadata", "active"))
+    sv.write_sv(df, str(tmp_path / "y.sv"))
+    assert (tmp_path / "y.sv").read_bytes() == (tmp_path / "a large one.sv").read_bytes()
+    (tmp_path / "a large small.sv").write_bytes(sv.encode(rows[:5], 4))
+    assert sv.read_sv(spark, str(tmp_path / "a large*.sv")).count() == n + 5
+
+
 LINES = [
     '{"op": "insert", "doc_id": "a", "text": "x", "vector": [1.0, 2.5], "metadata": {"k": [1, null]}}',
     '  {"op": "delete", "doc_id": "b"}  ',
